@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselens.shipping import ship
+
 #: Rows of an Arrow batch handed to Python: long texts stay a few MB a batch.
 BATCH_ROWS = 1024
 
@@ -22,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bounds the rows of each Arrow batch, so that a batch of very long texts fits a worker."""
+    """Before Python stages: bounds the rows of an Arrow batch, so that very long texts fit a worker, and ships the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

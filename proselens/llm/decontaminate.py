@@ -15,6 +15,7 @@ tasks in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -252,6 +253,58 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return merged.withColumn("spans", joined).withColumnRenamed("_id", id_col)
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text with the words of each span cut out, and what stands between them."""
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", text.translate(ALNUM))]
+    out, begin = [], 0
+    for s, e in spans:
+        out.append(text[begin : at[s][0]])
+        begin = at[e - 1][1]
+    return b"".join([*out, text[begin:]])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with every benchmark window cut from its text (until none is left) and length_col, if there, renewed.
+
+    Texts without a hit stay as they are, null too; a text of which no word is left goes. No row moves.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    at = docs.columns.index(text_col)
+    size = docs.columns.index(length_col) if length_col in docs.columns else None
+    for block in _blocks(benchmark, item_col, item_text):
+        docs = docs.mapInArrow(_cutter(spark.sparkContext.broadcast(Phrases(block)), at, size), docs.schema)
+    return docs
+
+
+def _cutter(sent, at: int, size: int | None):
+    def go(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            keep, changed, todo = [True] * len(texts), False, list(range(len(texts)))
+            while todo:
+                found = search_shard([texts[k] for k in todo], sent.value)
+                todo = [k for k, f in zip(todo, found) if f[1]]
+                for k, spans in zip(todo, (f[1] for f in found if f[1])):
+                    texts[k] = without(texts[k], spans)
+                    keep[k] = bool(words(texts[k]))
+                    changed = True
+            if changed:
+                column = pa.array(texts, type=pa.binary()).cast(b.schema.field(at).type)
+                columns = [*b.columns]
+                if size is not None:
+                    import pyarrow.compute as pc
+
+                    columns[size] = pc.if_else(pc.equal(column, columns[at]).fill_null(True), columns[size], pc.utf8_length(column).cast(columns[size].type))
+                columns[at] = column
+                b = pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep))
+            yield b
+
+    return go
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_items = F.size("items").cast("long")

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from proselens.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
 from proselens.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from proselens.llm.simhash import op5_simhash_near_dedup
+from proselens.llm.subwords import op3_sentencepiece_sampling
+from proselens.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 
