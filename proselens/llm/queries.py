@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from proselens.llm.decontaminate import OP7_SQL, op7_benchmark_decontamination
 from proselens.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from proselens.llm.html_text import op9_html_extraction
+from proselens.llm.lm_score import op1_lm_scoring
 from proselens.llm.simhash import op5_simhash_near_dedup
 from proselens.llm.subwords import op3_sentencepiece_sampling
 from proselens.llm.toxicity import op2_toxicity
+from proselens.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
