@@ -252,13 +252,25 @@ def short_runs(sentences: DataFrame) -> DataFrame:
     return found.select("doc_id", "sent_id", F.lit("D01").alias("rule"), "excerpt")
 
 
+def _lacks_phrases() -> tuple[Column, Column]:
+    hundredths = F.expr("common_phrases * 100000 div prose_chars")
+    shown = F.concat(F.lit("1000 字あたり "), F.expr("cast(common_phrases * 100000 div prose_chars div 100 as string)"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(" 件"))
+    return K.true((F.col("prose_chars") >= PHRASE_CHARS) & (F.col("common_phrases") * 1000.0 / F.col("prose_chars") < PHRASE_RATE)), shown
+
+
+def _mixes() -> tuple[Column, Column]:
+    shown = F.concat(F.lit("敬体 "), two_places(F.col("polite_ratio")), F.lit(" 常体 "), two_places(F.col("plain_ratio")))
+    return (F.coalesce("polite_ratio", F.lit(0.0)) >= MIXED) & (F.coalesce("plain_ratio", F.lit(0.0)) >= MIXED), shown
+
+
+def _ends_native() -> Column:
+    return K.true((F.col("final_wago") + F.col("final_sahen") >= FINAL_LEAST) & (F.col("final_wago_ratio") > FINAL_RATIO))
+
+
 def missing_phrases(measured: DataFrame) -> DataFrame:
     """D03"""
-    ja, n = F.col("prose_chars"), F.col("common_phrases")
-    hundredths = F.expr("common_phrases * 100000 div prose_chars")
-    excerpt = F.concat(F.lit("1000 字あたり "), F.expr("cast(common_phrases * 100000 div prose_chars div 100 as string)"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(" 件"))
-    rows = measured.filter((ja >= PHRASE_CHARS) & (n * 1000.0 / ja < PHRASE_RATE))
-    return rows.select("doc_id", F.col("first_prose").alias("sent_id"), F.lit("D03").alias("rule"), excerpt.alias("excerpt"))
+    ok, shown = _lacks_phrases()
+    return measured.filter(ok).select("doc_id", F.col("first_prose").alias("sent_id"), F.lit("D03").alias("rule"), shown.alias("excerpt"))
 
 
 def two_places(x: Column) -> Column:
@@ -273,19 +285,31 @@ def two_places(x: Column) -> Column:
 
 def mixed_register(measured: DataFrame) -> DataFrame:
     """R03"""
-    rows = measured.filter((F.coalesce("polite_ratio", F.lit(0.0)) >= MIXED) & (F.coalesce("plain_ratio", F.lit(0.0)) >= MIXED))
-    excerpt = F.concat(F.lit("敬体 "), two_places(F.col("polite_ratio")), F.lit(" 常体 "), two_places(F.col("plain_ratio")))
-    return rows.select("doc_id", F.col("first_sentence").alias("sent_id"), F.lit("R03").alias("rule"), excerpt.alias("excerpt"))
+    ok, shown = _mixes()
+    return measured.filter(ok).select("doc_id", F.col("first_sentence").alias("sent_id"), F.lit("R03").alias("rule"), shown.alias("excerpt"))
 
 
-def final_wago(measured: DataFrame, final_words: DataFrame) -> DataFrame:
-    """G01"""
+def _frequent(final_words: DataFrame) -> DataFrame:
+    """doc_id, words: the most frequent final lemmas with their counts."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "lemma"))
     top = final_words.withColumn("k", rank).filter(F.col("k") <= FINAL_WORDS)
     shown = F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "lemma", F.col("n").cast("string")).alias("w"))))
-    shown = top.groupBy("doc_id").agg(F.array_join(F.transform(shown, lambda x: x["w"]), "、").alias("excerpt"))
-    over = measured.filter((F.col("final_wago") + F.col("final_sahen") >= FINAL_LEAST) & (F.col("final_wago_ratio") > FINAL_RATIO))
-    return over.join(shown, "doc_id").select("doc_id", F.col("first_sentence").alias("sent_id"), F.lit("G01").alias("rule"), "excerpt")
+    return top.groupBy("doc_id").agg(F.array_join(F.transform(shown, lambda x: x["w"]), "、").alias("words"))
+
+
+def final_wago(measured: DataFrame, final_words: DataFrame) -> DataFrame:
+    """G01"""
+    over = measured.filter(_ends_native()).select("doc_id", F.col("first_sentence").alias("sent_id"), F.lit("G01").alias("rule"))
+    return over.join(_frequent(final_words).withColumnRenamed("words", "excerpt"), "doc_id")
+
+
+def measured_findings(measured: DataFrame, final_words: DataFrame) -> DataFrame:
+    """D03, R03 and G01 from one pass over the measures."""
+    (lacks, rate), (mixes, shares) = _lacks_phrases(), _mixes()
+    row = lambda ok, rule, at, shown: F.when(ok, F.struct(F.col(at).alias("sent_id"), F.lit(rule).alias("rule"), shown.alias("excerpt")))
+    made = F.array(row(lacks, "D03", "first_prose", rate), row(mixes, "R03", "first_sentence", shares), row(_ends_native(), "G01", "first_sentence", F.lit(None).cast("string")))
+    found = measured.select("doc_id", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
+    return found.join(_frequent(final_words), "doc_id", "left").select("doc_id", "sent_id", "rule", F.coalesce("excerpt", "words").alias("excerpt"))
 
 
 def findings(sentences: DataFrame, measured: DataFrame, final_words: DataFrame, lists: Lists = LISTS, floor: int = 300) -> DataFrame:
@@ -293,7 +317,7 @@ def findings(sentences: DataFrame, measured: DataFrame, final_words: DataFrame,
     low = (F.col("ja_chars") == 0) | (F.col("ja_chars") < floor)
     docs = measured.select("doc_id", low.alias("low"), F.coalesce(F.col("polite_ratio") >= 0.5, F.lit(False)).alias("polite"))
     own = sentence_findings(sentences, lists).withColumn("phase", F.lit(0))
-    whole = leading_conjunctions(sentences, lists).unionByName(short_runs(sentences)).unionByName(missing_phrases(measured)).unionByName(mixed_register(measured)).unionByName(final_wago(measured, final_words))
+    whole = leading_conjunctions(sentences, lists).unionByName(short_runs(sentences)).unionByName(measured_findings(measured, final_words))
     whole = whole.withColumn("span_ord", F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy("sent_id")) - 1).withColumn("phase", F.lit(1))
     every = own.unionByName(whole).join(docs, "doc_id")
     gated = F.col("rule").isin(*(r for r in DOCUMENT_RULES if r[0] in GATED_LAYERS))

@@ -78,8 +78,8 @@ def bank(spark: SparkSession) -> DataFrame:
 
 
 def places(keys: DataFrame) -> DataFrame:
-    """doc_id, sent_id, seg_id, kind, newline_before, id: between 4 and 88 examples a document."""
-    rows = keys.select("doc_id", F.explode(F.sequence(F.lit(0), (3 + F.col("doc_id") % 8 * 12).cast("int"))).alias("sent_id"))
+    """doc_id, sent_id, seg_id, kind, newline_before, id: between 4 and 172 examples a document."""
+    rows = keys.select("doc_id", F.explode(F.sequence(F.lit(0), (3 + F.col("doc_id") % 8 * 24).cast("int"))).alias("sent_id"))
     seg = F.expr("sent_id div 5").cast("int")
     return rows.select(
         "doc_id",

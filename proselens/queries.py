@@ -67,7 +67,7 @@ corpus AS (
     SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(sent_id // 5 AS INTEGER) AS seg_id,
            CASE WHEN sent_id // 5 % 4 = 3 THEN 'comment' ELSE 'prose' END AS kind, sent_id % 5 = 3 AS newline_before,
            (doc_id * 7 + sent_id * 5 + doc_id * sent_id) % {N} AS id
-    FROM (SELECT doc_id, unnest(range(0, 4 + doc_id % 8 * 12)) AS sent_id FROM documents)) p
+    FROM (SELECT doc_id, unnest(range(0, 4 + doc_id % 8 * 24)) AS sent_id FROM documents)) p
   JOIN bank USING (id)
 ),
 w AS (
