@@ -25,7 +25,7 @@ def touched(segments: DataFrame, added: DataFrame, key: list[str]) -> DataFrame:
     for k in [*key, "_b"]:
         same = same & (F.col(f"s.{k}") == F.col(f"a.{k}"))
     met = s.join(a, same & touches(F.col("s.line_start"), F.col("s.line_end"), F.col("a.start"), F.col("a.end")), "left_semi")
-    return met.drop("_b").dropDuplicates() if BUCKET else met
+    return met.drop("_b").dropDuplicates()
 
 
 def outermost(spans: DataFrame, key: list[str], start: str, end: str, tie: str | None = None) -> DataFrame:
@@ -49,23 +49,23 @@ def added_range(line: Column) -> Column:
     """Of a hunk header, struct<start, end> of the lines it adds, or null."""
     pattern = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     start, count = F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)
-    start, count = F.expr("1") * start.try_cast("int"), F.when(count == "", F.lit(1)).otherwise(count.try_cast("int"))
+    start, count = start.try_cast("int"), F.when(count == "", F.lit(1)).otherwise(count.try_cast("int"))
     return F.when((start > 0) & (count > 0), F.struct(start.alias("start"), (start + count - 1).cast("int").alias("end")))
 
 
-def changes(diff: DataFrame, text_col: str = "diff") -> DataFrame:
-    """Unified diffs (`-U0`) to rows of path, start, end: the added ranges of each file.
+def changes(diff: DataFrame, key: list[str], text_col: str = "diff") -> DataFrame:
+    """Unified diffs (`-U0`) to rows of key, path, start, end: the added ranges of each file.
 
     A file begins at `diff --git`; its path stands above its first hunk, so body lines that look like headers
     are none. The file's number and whether a hunk has begun are running sums over the lines.
     """
-    lines = diff.select(F.monotonically_increasing_id().alias("_diff"), F.posexplode(F.split(text_col, "\n")).alias("k", "line"))
-    by = Window.partitionBy("_diff").orderBy("k")
+    lines = diff.select(*key, F.posexplode(F.split(text_col, "\n")).alias("k", "line"))
+    by = Window.partitionBy(*key).orderBy("k")
     rows = lines.withColumn("_file", F.sum(F.startswith("line", F.lit("diff --git ")).cast("int")).over(by))
     hunk = F.startswith("line", F.lit("@@ "))
-    rows = rows.withColumn("_hunks", F.sum(hunk.cast("int")).over(Window.partitionBy("_diff", "_file").orderBy("k")))
+    rows = rows.withColumn("_hunks", F.sum(hunk.cast("int")).over(Window.partitionBy(*key, "_file").orderBy("k")))
     path = F.when((F.col("_hunks") == 0) & F.startswith("line", F.lit("+++ b/")), F.regexp_replace(F.substring("line", 7, 1 << 20), "\t+$", ""))
-    ranges = rows.select("_diff", "_file", "k", path.alias("path"), F.when(hunk, added_range(F.col("line"))).alias("r"))
-    whole = Window.partitionBy("_diff", "_file")
+    ranges = rows.select(*key, "_file", "k", path.alias("path"), F.when(hunk, added_range(F.col("line"))).alias("r"))
+    whole = Window.partitionBy(*key, "_file")
     found = ranges.withColumn("path", F.first("path", ignorenulls=True).over(whole)).filter("r is not null and path is not null")
-    return found.select("path", "r.start", "r.end")
+    return found.select(*key, "path", "r.start", "r.end")
