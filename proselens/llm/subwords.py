@@ -21,27 +21,32 @@ Masses under 1e-13 of a chunk that stay after its emitted segmentations count as
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proselens.llm.common import arrow_batches, table
+from proselens.llm.slots import Numbers, Slots
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 RANK_SHIFT = 3.0
 #: Bytes of text that are worked on at once.
-UNIT = 4_000_000
+UNIT = 400_000
+#: Edges of chunk lattices that a task keeps for its next texts.
+KEPT_EDGES = 1_500_000
 LEAST_MASS = 1e-13
 SPACE, LITERAL = 0x2581, 0x200000
 CHUNK = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
 class Pieces:
-    """The vocabulary as a trie in sorted arrays."""
+    """The vocabulary as a trie: node and letter to node."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -75,15 +80,36 @@ class Pieces:
                     logs.append(0.0)
                 node = child[key]
             ends[node], logs[node] = i, log_p[i]
-        keys = sorted(child)
-        self.keys, self.child = np.array(keys, dtype=np.int64), np.array([child[k] for k in keys], dtype=np.int64)
+        self.child = Slots(np.array(list(child), dtype=np.int64), np.array(list(child.values()), dtype=np.int64))
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace("▁", " ").encode() for i, t in enumerate(self.text)]
         self.ends, self.logs = np.array(ends, dtype=np.int64), np.array(logs)
 
+        self.raw_length = np.array([len(r) for r in self.raw], dtype=np.int64)
+        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+
+        self.roots = self.child.find(np.arange(1 << 14, dtype=np.int64))
+
+    def begin(self, cps: np.ndarray) -> np.ndarray:
+        """The nodes below the root by letter, from a table for the frequent ones."""
+        node = self.roots[np.minimum(cps, len(self.roots) - 1)]
+        far = np.flatnonzero(cps >= len(self.roots))
+        node[far] = self.child.find(cps[far])
+        return node
+
+    def gives(self, ids: np.ndarray, at: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether the ids from at[k] to at[k + 1] decode to texts[k], for all at once."""
+        size = self.raw_length[ids]
+        got = self.raw_bytes[ragged(self.raw_start[ids], size)]
+        sizes = np.add.reduceat(size, at[:-1])
+        want = np.frombuffer(b" " + b" ".join(texts), dtype=np.uint8)
+        same = sizes == np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        if same.all():
+            return ~np.logical_or.reduceat(got != want, np.cumsum(sizes) - sizes)
+        return np.array([self.decode(ids[a:b].tolist()).encode("utf-8", "surrogatepass") == t for a, b, t in zip(at[:-1].tolist(), at[1:].tolist(), texts)])
+
     def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            parts.append(bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace("▁", " ").encode())
-        return b"".join(parts).decode("utf-8", errors="surrogatepass")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", errors="surrogatepass")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -98,26 +124,53 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def uniform(seed: np.ndarray, *place: int | np.ndarray) -> np.ndarray:
-    """In (0, 1), from a row's seed and a place."""
+def mixed(seed: np.ndarray, *place: int | np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k, p in enumerate(place):
             seed = mix(seed + np.asarray(p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    return seed
+
+
+def uniform(seed: np.ndarray, *place: int | np.ndarray) -> np.ndarray:
+    """In (0, 1), from a row's seed and a place."""
+    seed = mixed(seed, *place)
     return ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def stepped(seed: np.ndarray, step: int) -> np.ndarray:
+    """In [0, 1), from mixed seeds and a count of steps; one round, as the seeds are mixed already."""
+    with np.errstate(over="ignore"):
+        x = seed + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    x >>= np.uint64(11)
+    return x.astype(np.float64) * 2.0**-53
+
+
+def uniform_one(seed: int, *place: int) -> float:
+    """uniform, for one place."""
+    top = (1 << 64) - 1
+    for k, p in enumerate(place):
+        x = (seed + p * 0x9E3779B97F4A7C15 + k + 1) & top
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & top
+        seed = x ^ (x >> 31)
+    return ((seed >> 11) + 0.5) * 2.0**-53
+
+
 def ragged(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     ends = np.cumsum(n)
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(lo - (ends - n), n)
 
 
 class Lattice:
-    """The lattices of many chunks: edges sorted by their node, with cumulative probabilities."""
+    """The lattices of many chunks: each node's edges together, with cumulative probabilities."""
 
     def __init__(self, chunks: list[str], voc: Pieces):
         cps = np.frombuffer("".join(chunks).encode("utf-32-le", errors="surrogatepass"), dtype=np.uint32).astype(np.int64)
         cps = np.where(cps == SPACE, LITERAL, np.where(cps == 32, SPACE, cps))
-        size = np.array([len(c) for c in chunks], dtype=np.int64)
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         self.end = np.cumsum(size)
         self.start = self.end - size
         stop = np.repeat(self.end, size)
@@ -126,10 +179,9 @@ class Lattice:
         found = []
         single = np.zeros(n, dtype=bool)
         while len(at):
-            key = node << 21 | cps[at + depth]
-            i = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
-            ok = voc.keys[i] == key
-            at, node = at[ok], voc.child[i[ok]]
+            node = voc.begin(cps) if depth == 0 else voc.child.find(node << 21 | cps[at + depth])
+            ok = node >= 0
+            at, node = at[ok], node[ok]
             depth += 1
             e = voc.ends[node]
             hit = e >= 0
@@ -145,7 +197,7 @@ class Lattice:
         src, length, piece, log_p = (np.concatenate(x) for x in zip(*found))
         # masses from the ends, all chunks at once: nodes at the same distance from their end go together
         away = stop[src] - src
-        order = np.lexsort((src, away))
+        order = np.argsort((away * (n + 1) + src) * 32 - np.minimum(length, 31))  # a node's longest piece first: mostly the likeliest
         src, length, piece, log_p, away = src[order], length[order], piece[order], log_p[order], away[order]
         mass = np.zeros(n + 1)
         value = np.empty(len(src))
@@ -158,15 +210,26 @@ class Lattice:
             many = np.diff(np.concatenate((first, [b - a])))
             mass[src[a:b][first]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), first))
             value[a:b] = v - mass[src[a:b]]
-        order = np.argsort(src, kind="stable")
-        self.src, self.length, self.piece, self.log_p = src[order], length[order], piece[order], value[order]
-        run = np.cumsum(np.exp(self.log_p))
-        first = np.flatnonzero(np.diff(self.src, prepend=-1))
-        many = np.diff(np.concatenate((first, [len(self.src)])))
-        run = run - np.repeat(run[first] - np.exp(self.log_p[first]), many)
-        run[first + many - 1] = 1.0
-        self.cdf = self.src + np.minimum(run, 1.0)
-        self.first = np.searchsorted(self.src, np.arange(n + 1))
+        self.size = n
+        self.length, self.piece, self.log_p = length.astype(np.int32), piece.astype(np.int32), value
+        p = np.exp(value)
+        run = np.cumsum(p)
+        first = np.flatnonzero(np.diff(src, prepend=-1))
+        many = np.diff(np.concatenate((first, [len(src)])))
+        run = run - np.repeat(run[first] - p[first], many)
+        run[first + many - 1] = 2.0  # no draw passes a node's last edge
+        self.cdf = run
+        self.first, self.many = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.first[src[first]], self.many[src[first]] = first, many
+
+    def add(self, other: Lattice) -> None:
+        """other's chunks behind this one's."""
+        edges, n = len(self.cdf), self.size
+        self.start, self.end = np.concatenate((self.start, other.start + n)), np.concatenate((self.end, other.end + n))
+        self.first = np.concatenate((self.first, other.first + edges))
+        for k in ("many", "cdf", "length", "piece", "log_p"):
+            setattr(self, k, np.concatenate((getattr(self, k), getattr(other, k))))
+        self.size = n + other.size
 
     def sample(self, kind: np.ndarray, seed: np.ndarray, word: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each chunk its number of pieces, log probability and pieces (one after another)."""
@@ -174,14 +237,20 @@ class Lattice:
         at, end, live = self.start[kind], self.end[kind], np.arange(n)
         count, log_p = np.zeros(n, dtype=np.int64), np.zeros(n)
         steps, step = [], 0
+        base = mixed(seed, word, turn)
         while len(live):
-            e = np.searchsorted(self.cdf, at[live] + uniform(seed[live], word[live], turn, step), side="right")
-            e = np.minimum(e, len(self.cdf) - 1)
+            node = at[live]
+            e, x = self.first[node], stepped(base if len(live) == n else base[live], step)
+            on = np.flatnonzero(self.cdf[e] <= x)
+            while len(on):
+                e[on] += 1
+                on = on[self.cdf[e[on]] <= x[on]]
             steps.append((live, self.piece[e]))
             log_p[live] += self.log_p[e]
-            at[live] += self.length[e]
+            node = node + self.length[e]
+            at[live] = node
             count[live] += 1
-            live = live[at[live] < end[live]]
+            live = live[node < end[live]]
             step += 1
         base = np.cumsum(count) - count
         out = np.empty(int(count.sum()), dtype=np.int64)
@@ -190,25 +259,23 @@ class Lattice:
         return count, np.minimum(log_p, 0.0), out
 
 
-    def other(self, kind: int, taken: list[list[int]], seed: np.ndarray, word: int, turn: int) -> tuple[list[int], float] | None:
+    def other(self, kind: int, taken: list[list[int]], seed: int, word: int, turn: int) -> tuple[list[int], float] | None:
         """A segmentation of one chunk, drawn from all but those taken; None if none is left."""
         at, end, step = int(self.start[kind]), int(self.end[kind]), 0
         apart = [self._rests(at, t) for t in taken]
         out, log_p = [], 0.0
         while at < end:
-            a, b = int(self.first[at]), int(self.first[at + 1])
+            a, b = int(self.first[at]), int(self.first[at] + self.many[at])
             logs, piece = self.log_p[a:b], self.piece[a:b]
             weight = np.exp(logs)
-            for e in range(b - a) if apart else ():
-                gone = sum(np.exp(rest[step + 1]) for t, rest in zip(taken, apart) if t[step] == piece[e])
-                if gone:
-                    same = [rest[step + 1] for t, rest in zip(taken, apart) if t[step] == piece[e]]
-                    left = -np.expm1(same[0]) if len(same) == 1 else 1 - gone
-                    weight[e] *= left if left > LEAST_MASS else 0.0
+            for p in {t[step] for t in taken}:
+                same = [rest[step + 1] for t, rest in zip(taken, apart) if t[step] == p]
+                left = -math.expm1(same[0]) if len(same) == 1 else 1 - sum(map(math.exp, same))
+                weight[piece == p] *= left if left > LEAST_MASS else 0.0
             run = np.cumsum(weight)
             if not run[-1] > 0:
                 return None
-            e = int(np.searchsorted(run, run[-1] * float(uniform(seed, word, turn, step)), side="right"))
+            e = int(np.searchsorted(run, run[-1] * uniform_one(seed, word, turn, step), side="right"))
             e = min(e, b - a - 1)
             keep = [k for k, t in enumerate(taken) if t[step] == piece[e]]
             taken, apart = [taken[k] for k in keep], [apart[k] for k in keep]
@@ -222,7 +289,7 @@ class Lattice:
         """Log probability of the rest of a segmentation at each of its steps."""
         logs = []
         for p in ids:
-            a, b = int(self.first[at]), int(self.first[at + 1])
+            a, b = int(self.first[at]), int(self.first[at] + self.many[at])
             e = a + int(np.flatnonzero(self.piece[a:b] == p)[0])
             logs.append(float(self.log_p[e]))
             at += int(self.length[e])
@@ -236,13 +303,33 @@ def first_at(value: np.ndarray, begin: np.ndarray, top: np.ndarray, owner: np.nd
     return hit[i]
 
 
-def segmentations(texts: list[str | None], seeds: np.ndarray, voc: Pieces, k: int = SAMPLES) -> list[list[tuple[list[int], float, float, float]]]:
+class Chunks:
+    """The lattices of the chunks seen so far, begun anew when they become too many."""
+
+    def __init__(self, voc: Pieces):
+        self.voc, self.known, self.lattice = voc, Numbers(), None
+
+    def kinds(self, chunks: list[list[str]], size: int) -> np.ndarray:
+        if self.lattice is None or len(self.lattice.cdf) > KEPT_EDGES:
+            self.known, self.lattice = Numbers(), None
+        known, old = self.known, len(self.known)
+        kind = np.fromiter(map(known.__getitem__, chain.from_iterable(chunks)), dtype=np.int64, count=size)
+        if len(known) > old:
+            new = Lattice(list(islice(known, old, None)), self.voc)
+            if self.lattice is None:
+                self.lattice = new
+            else:
+                self.lattice.add(new)
+        return kind
+
+
+def segmentations(texts: list[str | None], seeds: np.ndarray, voc: Pieces, k: int = SAMPLES, seen: Chunks | None = None) -> list[list[tuple[list[int], float, float, float]]]:
     """Per text up to k distinct segmentations, in falling order: ids, log p, perturbed log p, log inclusion."""
     chunks = [CHUNK.findall(" " + (t or "")) for t in texts]
-    known: dict[str, int] = {}
     size = np.array([len(c) for c in chunks], dtype=np.int64)
-    kind = np.fromiter((known.setdefault(c, len(known)) for cs in chunks for c in cs), dtype=np.int64, count=int(size.sum()))
-    lat = Lattice(list(known), voc)
+    seen = seen or Chunks(voc)
+    kind = seen.kinds(chunks, int(size.sum()))
+    lat = seen.lattice
     docs = len(texts)
     owner = np.repeat(np.arange(docs), size)
     begin = np.cumsum(size) - size
@@ -304,7 +391,7 @@ def segmentations(texts: list[str | None], seeds: np.ndarray, voc: Pieces, k: in
                 if leave[q][d] != j:
                     break
                 q = int(parent[q][d])
-            drawn = lat.other(int(kind[j]), before, seed[d], int(word[j]), s * 1000 + 1)
+            drawn = lat.other(int(kind[j]), before, int(seed[d]), int(word[j]), s * 1000 + 1)
             if drawn is None:
                 ok[d] = False
                 continue
@@ -357,9 +444,10 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, id_col: str =
         import pyarrow as pa
 
         voc = pieces(model)
+        seen = Chunks(voc)
 
         def made(kind, ids, texts, seeds):
-            got = segmentations(texts, np.array(seeds, dtype=np.int64), voc, k)
+            got = segmentations(texts, np.array(seeds, dtype=np.int64), voc, k, seen)
             rows = [(i, s, *x, t) for i, t, g in zip(ids, texts, got) for s, x in enumerate(g)]
             flat = np.concatenate([r[2] for r in rows]).astype(np.int32)
             at = np.cumsum([0] + [len(r[2]) for r in rows]).astype(np.int32)
@@ -369,7 +457,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, id_col: str =
                     pa.array([r[1] for r in rows], type=pa.int32()),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                     *(pa.array([r[c] for r in rows], type=pa.float64()) for c in (3, 4, 5)),
-                    pa.array([voc.decode(r[2].tolist()) == (r[6] or "") for r in rows]),
+                    pa.array(voc.gives(flat, at, [(r[6] or "").encode("utf-8", "surrogatepass") for r in rows])),
                 ],
                 names=["_id", "sample", "ids", "log_p", "perturbed", "log_inclusion", "decoded"],
             )
