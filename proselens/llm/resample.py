@@ -1,6 +1,6 @@
 """Quality by importance resampling: hashed n-gram models of good text and of all text, sampled by Gumbel top-k.
 
-Two bags of hashed unigrams and bigrams are counted, one over the texts labelled good and one over all.
+Two bags of hashed unigrams and bigrams are counted, one over texts labelled good (TARGET_ROWS of them at most) and one over all.
 A text's weight is the mean log ratio of the two over its n-grams, times SHARPNESS; adding a Gumbel value, drawn
 from the row key, and keeping the largest draws rows without replacement in proportion to exp(weight).
 The threshold is found by counting keys in ever finer bins, so no task sees more than one bin's rows.
@@ -22,6 +22,8 @@ from proselens.llm.common import LOWER, arrow_batches, stash, table
 
 BUCKETS = 1 << 16
 SHARE = 0.8
+#: Good texts that the target model is fitted on, at most; their ids are what is broadcast.
+TARGET_ROWS = 20_000
 #: A text's weight counts as that of so many n-grams, whatever its length.
 SHARPNESS = 60.0
 SMOOTHING = 1.0
@@ -30,15 +32,21 @@ FEW = 20_000
 MEMORY = 400_000
 
 
-def buckets(text: bytes | None, memory: dict[bytes, int]) -> np.ndarray:
+class Hashes(dict):
+    """Hashes of the words that were asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MEMORY:
+            self.clear()
+        self[word] = h = zlib.crc32(word)
+        return h
+
+
+def buckets(text: bytes | None, memory: Hashes) -> np.ndarray:
     """Buckets of a text's words and of its pairs of neighbours."""
     ws = text.translate(LOWER).split() if text else []
     if not ws:
         return np.zeros(0, dtype=np.int64)
-    if len(memory) > MEMORY:
-        memory.clear()
-    for w in set(ws) - memory.keys():
-        memory[w] = zlib.crc32(w)
     h = np.fromiter(map(memory.__getitem__, ws), dtype=np.uint64, count=len(ws))
     pair = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * np.uint64(0x85EBCA77C2B2AE63) >> np.uint64(40)
     return np.concatenate((h % np.uint64(BUCKETS // 2), np.uint64(BUCKETS // 2) + pair % np.uint64(BUCKETS // 2))).astype(np.int64)
@@ -50,13 +58,12 @@ def count_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def go(batches):
         import pyarrow as pa
 
-        every, good, memory = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64), {}
+        every, good, memory = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64), Hashes()
         for b in batches:
-            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(buckets(t, memory), minlength=BUCKETS)
-                every += n
-                if g:
-                    good += n
+            found = [buckets(t, memory) for t in b.column(0).to_pylist()]
+            marked = [f for f, g in zip(found, b.column(1).to_pylist()) if g]
+            every += np.bincount(np.concatenate(found), minlength=BUCKETS) if found else 0
+            good += np.bincount(np.concatenate(marked), minlength=BUCKETS) if marked else 0
         at = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(every[at]), pa.array(good[at])], names=["b", "n", "g"])
 
@@ -98,6 +105,18 @@ def threshold(scored: DataFrame, k: int):
             break
     if low is None:
         return F.lit(False)
+    if low == high:  # rows that tie in key go by id
+        tied = scored.filter(F.col("key") == F.lit(high))
+        nulls, lo, hi = tied.agg(F.count_if(F.col("_id").isNull()), F.min("_id"), F.max("_id")).first()
+        want = k - above
+        while lo is not None and lo < hi:
+            mid = (lo + hi) // 2
+            if nulls + tied.filter(F.col("_id") <= F.lit(mid)).count() >= want:
+                hi = mid
+            else:
+                lo = mid + 1
+        within = F.lit(want > 0) & (F.col("_id").isNull() | (F.lit(want > nulls) & (F.col("_id") <= F.lit(hi))))
+        return (F.col("key") > F.lit(high)) | ((F.col("key") == F.lit(high)) & F.coalesce(within, F.lit(False)))
     last = scored.filter(inside).groupBy("key", "_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("key").desc(), F.col("_id").asc_nulls_first()).limit(FEW + 1).collect()
     cut = None
     for r in last:
@@ -116,15 +135,16 @@ def resample(docs: DataFrame, good: DataFrame, share: float = SHARE, id_col: str
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    ids = good.select(F.col(id_col).cast("long").alias("_id")).distinct().withColumn("_good", F.lit(True))
-    every, all_ = count_buckets(rows.select("_text", F.lit(False).alias("_good")))[0], rows
-    target = count_buckets(all_.join(ids, "_id").select("_text", "_good"))[1]
+    ids = good.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(TARGET_ROWS).withColumn("_good", F.lit(True))
+    every = count_buckets(rows.select("_text", F.lit(False).alias("_good")))[0]
+    target = count_buckets(rows.join(F.broadcast(ids), "_id").select("_text", "_good"))[1]
     sent = spark.sparkContext.broadcast(log_ratios(every, target))
 
     def go(batches):
         import pyarrow as pa
 
-        memory: dict[bytes, int] = {}
+        memory = Hashes()
         for b in batches:
             n, mean = [], []
             for t in b.column(1).to_pylist():
