@@ -241,7 +241,7 @@ def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
     return met.filter("v is not null").select("u", "v").unionByName(again.select(F.explode("us").alias("u"), "v"))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, bits: int = 16, lanes: int = 2, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, bits: int = 16, lanes: int = 2, segments: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, f0.. (the fingerprint's lanes as signed integers) and component_id."""
     fcols = [f"f{k}" for k in range(lanes)]
     prints = stash(fingerprints(docs, shingle, lanes, id_col, text_col), "prints")
