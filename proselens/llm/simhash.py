@@ -31,6 +31,8 @@ LANE = 64
 HOT = 4096
 #: Runs of up to so many are compared at fixed offsets, all of a batch at once.
 SMALL = 12
+#: Bits between the forests of one bucket.
+LAYER = 4
 #: Stands for a null id among nodes.
 NO_ID = 1 << 62
 
@@ -42,19 +44,31 @@ def shingles(text: bytes | None, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(w[i:] for i in range(size)))))
 
 
-def fingerprint(text: bytes | None, size: int = 3, lanes: int = 1) -> list[int]:
-    """One unsigned 64-bit integer a lane; lane l hashes with seed 42 + l."""
+def hashes(found: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
+    return np.array([xxh64_intdigest(s, 42) for s in found], dtype=np.uint64)
+
+
+def mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """Lane 0 is the hash itself; the others are splitmix64 of it, one hash of a shingle serving all lanes."""
+    if not lane:
+        return h
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, size: int = 3, lanes: int = 1) -> list[int]:
+    """One unsigned 64-bit integer a lane."""
     found = shingles(text, size)
-    out = []
-    for lane in range(lanes):
-        votes = np.zeros(LANE, dtype=np.int64)
-        for at in range(0, len(found), 1 << 15):
-            h = np.array([xxh64_intdigest(s, 42 + lane) for s in found[at : at + (1 << 15)]], dtype=">u8")
-            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(votes * 2 > len(found)).tobytes(), "big"))
-    return out
+    votes = np.zeros(LANE * lanes, dtype=np.int64)
+    for at in range(0, len(found), 1 << 13):
+        h = hashes(found[at : at + (1 << 13)])
+        h = np.stack([mixed(h, lane) for lane in range(lanes)], axis=1).astype(">u8")
+        votes += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(found)).view(">u8").tolist()
 
 
 def fingerprints(docs: DataFrame, size: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
@@ -72,11 +86,13 @@ def fingerprints(docs: DataFrame, size: int, lanes: int, id_col: str, text_col:
 
 
 class Cut:
-    """Segments over the lanes: (lane, shift, bits), none across a lane's border."""
+    """Segments over the lanes: (lane, shift, bits), none across a lane's border. Rows of the index carry the first
+    `seen` lanes, on which the limit holds, and, if these are not all, the bit that the wildcard hides."""
 
-    def __init__(self, lanes: int, segments: int, bits: int):
+    def __init__(self, lanes: int, segments: int, bits: int, seen: int | None = None):
         per = segments // lanes
-        self.lanes, self.limit = lanes, bits
+        self.lanes, self.limit, self.seen = lanes, bits, seen or lanes
+        self.width = self.seen + (self.seen < lanes)
         edges = [LANE * k // per for k in range(per + 1)]
         self.parts = [(lane, edges[k], edges[k + 1] - edges[k]) for lane in range(lanes) for k in range(per)]
 
@@ -89,19 +105,47 @@ class Cut:
                 out.append((v & ~np.uint64(1 << i)) | np.uint64((s << 48) | (i << 40)))
         return np.stack(out, axis=1)
 
+    def hidden(self, f: np.ndarray) -> np.ndarray:
+        """(rows, variants): the bit under each wildcard."""
+        return np.stack([(f[:, lane] >> np.uint64(shift + i)) & np.uint64(1) for lane, shift, width in self.parts for i in range(width)], axis=1)
+
     def new(self, key: np.ndarray, diff: np.ndarray) -> np.ndarray:
         """Whether a pair belongs to this key: equal segments meet under each wildcard, but count under the first."""
+        if self.seen < self.lanes:
+            return (diff[:, self.seen] != 0) | ((key >> np.uint64(40)) & np.uint64(255) == 0)
         seg, wild = (key >> np.uint64(48)).astype(np.int64), (key >> np.uint64(40)) & np.uint64(255)
         lane, shift, width = (np.array(x)[seg] for x in zip(*self.parts))
         same = (diff[np.arange(len(diff)), lane] >> shift.astype(np.uint64)) & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))
         return (same != 0) | (wild == 0)
 
 
-def close(diff: np.ndarray, limit: int) -> np.ndarray:
-    return np.bitwise_count(diff).sum(axis=1, dtype=np.int64) <= limit
+def close(diff: np.ndarray, limit: int, seen: int | None = None) -> np.ndarray:
+    return np.bitwise_count(diff[:, :seen]).sum(axis=1, dtype=np.int64) <= limit
 
 
-def forest(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
+def forests(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
+    """Where links are verified later, the forest grows by LAYER bits up to the limit, the closest links first: what hangs
+    together within so many bits still does so when wider links of the bucket fail."""
+    if cut.seen == cut.lanes:
+        yield from forest(key, f, cut, cut.limit)
+        return
+    root = list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for limit in [*range(LAYER, cut.limit, LAYER), cut.limit]:
+        for x, y in forest(key, f, cut, limit):
+            a, b = find(x), find(y)
+            if a != b:
+                root[b] = a
+                yield x, y
+
+
+def forest(key: int, f: np.ndarray, cut: Cut, limit: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the pairs of one bucket that are close: breadth first over those not yet reached."""
     left = np.arange(len(f))
     queue: list[int] = []
@@ -112,7 +156,7 @@ def forest(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
             left = left[1:]
         x = queue.pop()
         diff = f[left] ^ f[x]
-        near = close(diff, cut.limit)
+        near = close(diff, limit, cut.seen)
         if near.any():
             near[near] = cut.new(np.full(int(near.sum()), k), diff[near])
             for y in left[near].tolist():
@@ -147,7 +191,7 @@ def second(key: np.ndarray, f: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.nda
 
 def scan(batches, cut: Cut):
     """Buckets come as runs of equal keys; small runs are compared at once, larger ones each, hot ones are dealt on."""
-    key, node, f = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, cut.lanes), np.uint64)
+    key, node, f = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, cut.width), np.uint64)
     splits = len(cut.parts) == 2 and cut.limit <= 2
     hot = None
 
@@ -163,16 +207,17 @@ def scan(batches, cut: Cut):
         for d in range(1, min(SMALL, int(size.max()))):
             i = np.flatnonzero((key[:-d] == key[d:]) & (run[:-d] <= SMALL))
             diff = f[i] ^ f[i + d]
-            ok = close(diff, cut.limit)
+            ok = close(diff, cut.limit, cut.seen)
             i, diff = i[ok], diff[ok]
             i = i[cut.new(key[i], diff)]
             if len(i):
                 yield links(node[i], node[i + d])
         for k in np.flatnonzero(size > SMALL).tolist():
             a, b = int(edge[k]), int(edge[k + 1])
-            if pairs := list(forest(int(key[a]), f[a:b], cut)):
+            order = a + np.argsort(node[a:b], kind="stable")  # the same start in every bucket: fewer different links
+            if pairs := list(forests(int(key[a]), f[order], cut)):
                 x = np.array(pairs)
-                yield links(node[a + x[:, 0]], node[a + x[:, 1]])
+                yield links(node[order[x[:, 0]]], node[order[x[:, 1]]])
 
     def dealt(key, node, f):
         step = 512
@@ -183,7 +228,7 @@ def scan(batches, cut: Cut):
     for b in batches:
         key = np.concatenate((key, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
         node = np.concatenate((node, b.column(1).to_numpy(zero_copy_only=False)))
-        f = np.concatenate((f, np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(cut.lanes)], axis=1)))
+        f = np.concatenate((f, np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(cut.width)], axis=1)))
         while len(key):
             if hot is not None:
                 n = int(np.searchsorted(key != hot, True)) if (key != hot).any() else len(key)
@@ -208,7 +253,7 @@ def scan(batches, cut: Cut):
 def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
     """nodes: node long and f0.. of different fingerprints. Links u, v that connect all that are close."""
     lanes = cut.lanes
-    cols = ["key", "node", *(f"f{k}" for k in range(lanes))]
+    cols = ["key", "node", *(f"f{k}" for k in range(cut.width))]
 
     def variants(batches):
         import pyarrow as pa
@@ -217,7 +262,9 @@ def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
             f = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(lanes)], axis=1)
             keys = cut.keys(f)
             n = keys.shape[1]
-            rest = [np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), *(np.repeat(f[:, k].view(np.int64), n) for k in range(lanes))]
+            rest = [np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), *(np.repeat(f[:, k].view(np.int64), n) for k in range(cut.seen))]
+            if cut.seen < lanes:
+                rest.append(cut.hidden(f).reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.reshape(-1).view(np.int64), *rest)], names=cols)
 
     def go(batches):
@@ -235,19 +282,71 @@ def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
                 names=["u", "v", "one", "two"],
             )
 
-    index = nodes.select("node", *cols[2:]).mapInArrow(variants, ", ".join(f"{c} long" for c in cols))
+    index = nodes.select("node", *(f"f{k}" for k in range(lanes))).mapInArrow(variants, ", ".join(f"{c} long" for c in cols))
     met = stash(index.repartition("key").sortWithinPartitions("key").mapInArrow(go, "u long, v long, one long, two long"), "met")
     again = met.filter("v is null").groupBy("one", "two").agg(F.min("u").alias("v"), F.collect_list("u").alias("us")).filter(F.size("us") > 1)
     return met.filter("v is not null").select("u", "v").unionByName(again.select(F.explode("us").alias("u"), "v"))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, bits: int = 16, lanes: int = 2, segments: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, f0.. (the fingerprint's lanes as signed integers) and component_id."""
+def node_of_null(fcols: list[str]):
+    return F.pmod(F.xxhash64(*fcols), F.lit(NO_ID)) + F.lit(NO_ID)
+
+
+def alike(links: DataFrame, docs: DataFrame, lanes: int, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The links whose texts share `least` of their shingles (Jaccard). Only texts with a link move."""
+    arrow_batches(docs.sparkSession)
+    pairs = stash(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    fcols = [f"f{k}" for k in range(lanes)]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
+
+    def prints(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = np.array([fingerprint(t, size, lanes) for t in b.column(0).to_pylist()], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, k]) for k in range(lanes))], names=["_text", *fcols])
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [np.unique(hashes(shingles(t, size)).view(np.int64)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, type=pa.list_(pa.int64()))], names=["node", "own"])
+
+    def verify(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            keep = pa.array(keep, type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+
+    null = rows.filter("node is null").select("_text").mapInArrow(prints, "_text binary, " + ", ".join(f"{c} long" for c in fcols))
+    every = rows.filter("node is not null").unionByName(null.select(node_of_null(fcols).alias("node"), "_text"))
+    own = stash(every.join(ends, "node", "left_semi").select("node", "_text").mapInArrow(sets, "node long, own array<long>"), "sets")
+    one = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("x")), "u")
+    two = one.join(own.select(F.col("node").alias("v"), F.col("own").alias("y")), "v")
+    return two.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
+
+
+def near_groups(
+    docs: DataFrame, shingle: int = 5, bits: int = 36, lanes: int = 8, segments: int = 24, seen: int = 2, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: the id, f0.. (the fingerprint's lanes as signed integers) and component_id.
+
+    Pairs that meet and are within `bits` in the first `seen` lanes link if `least` of their shingles are shared;
+    with no `least`, all that are within `bits` link."""
     fcols = [f"f{k}" for k in range(lanes)]
     prints = stash(fingerprints(docs, shingle, lanes, id_col, text_col), "prints")
-    node = F.coalesce(F.min("_id"), F.pmod(F.xxhash64(*fcols), F.lit(NO_ID)) + F.lit(NO_ID))
+    node = F.coalesce(F.min("_id"), node_of_null(fcols))
     nodes = stash(prints.groupBy(*fcols).agg(node.alias("node")), "nodes")
-    comp = components(fingerprint_links(nodes, Cut(lanes, segments, bits)))
+    links = fingerprint_links(nodes, Cut(lanes, segments, bits, seen))
+    comp = components(links if least is None else alike(links, docs, lanes, shingle, least, id_col, text_col))
     root = F.coalesce("root", "node")
     known = stash(nodes.join(comp, "node", "left").select(*fcols, F.when(root < NO_ID, root).alias("component_id")), "known")
     return prints.join(known, fcols).select(F.col("_id").alias(id_col), *fcols, "component_id")
@@ -260,5 +359,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_simhash_near_dedup(spark, sf_dir):
-    found = near_groups(table(spark, sf_dir, "documents"), shingle=3, bits=2, lanes=1, segments=2)
+    found = near_groups(table(spark, sf_dir, "documents"), shingle=3, bits=2, lanes=1, segments=2, seen=1, least=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

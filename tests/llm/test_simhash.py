@@ -106,3 +106,26 @@ def test_wide_prints_link_edited_copies(spark):
     edited[50] = "changed"
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(other)), (4, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.near_dedup(docs).collect()) == [1, 3, 4]
+
+
+def test_pairs_at_the_stated_similarity_link(spark):
+    """Pairs of known Jaccard similarity: nearly all from 0.8 on link, none below links."""
+    rng = random.Random(11)
+    rows, pairs, i = [], [], 0
+    for edits in (1, 3, 5, 6, 9):
+        for _ in range(60):
+            base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+            other = base[:]
+            for at in rng.sample(range(5, 295, 10), edits):
+                other[at] = f"x{rng.randint(0, 10**6)}"
+            a, b = (set(S.shingles(" ".join(x).encode(), 5)) for x in (base, other))
+            rows += [(i, " ".join(base)), (i + 1, " ".join(other))]
+            pairs.append((i, len(a & b) / len(a | b)))
+            i += 2
+    got = {r.doc_id: r.component_id for r in S.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {i: got[i] == got[i + 1] for i, _ in pairs}
+    assert not any(linked[i] for i, j in pairs if j < 0.8)
+    for low, high, least in ((0.8, 0.83, 0.9), (0.83, 0.87, 0.93), (0.87, 0.93, 0.97), (0.93, 1, 0.99)):
+        found = [linked[i] for i, j in pairs if low <= j < high]
+        print(low, high, sum(found), len(found))
+        assert len(found) >= 60 and sum(found) >= least * len(found)
