@@ -180,7 +180,7 @@ def search_shard(texts: list[bytes | None], ph: Phrases) -> list[tuple[int, list
     return out
 
 
-SCHEMA = "_id {kind}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+SCHEMA = "_id {kind}, _a long, _b long, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
@@ -200,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document: the id, n_words, spans (merged word ranges to remove) and items found."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text")).select("*", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"))
     schema = SCHEMA.format(kind=rows.schema["_id"].dataType.simpleString())
 
     def run(sent):
@@ -208,39 +208,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             import pyarrow as pa
 
             ph = sent.value
-            def made(ids, texts):
+            def made(ids, texts, a, b):
                 got = search_shard(texts, ph)
                 return pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, type=kind),
+                        pa.array(a, type=pa.int64()),
+                        pa.array(b, type=pa.int64()),
                         pa.array([g[0] for g in got], type=pa.int64()),
-                        pa.array([[{"s": a, "e": b} for a, b in g[1]] for g in got], type=pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
+                        pa.array([[{"s": s, "e": e} for s, e in g[1]] for g in got], type=pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                         pa.array([sorted(g[2]) for g in got], type=pa.list_(pa.string())),
                     ],
-                    names=["_id", "n_words", "spans", "items"],
+                    names=["_id", "_a", "_b", "n_words", "spans", "items"],
                 )
 
-            ids, texts, size, kind = [], [], 0, None
+            held, size, kind = ([], [], [], []), 0, None
             for b in batches:
                 kind = b.column(0).type
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids.append(i)
-                    texts.append(t)
-                    size += len(t or b"")
+                for row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    for h, x in zip(held, row):
+                        h.append(x)
+                    size += len(row[1] or b"")
                     if size > SHARD_WORDS * 6:
-                        yield made(ids, texts)
-                        ids, texts, size = [], [], 0
-            if ids:
-                yield made(ids, texts)
+                        yield made(*held)
+                        held, size = ([], [], [], []), 0
+            if held[0]:
+                yield made(*held)
 
         return rows.mapInArrow(go, schema)
 
     frames = [run(spark.sparkContext.broadcast(Phrases(b))) for b in _blocks(benchmark, item_col, item_text)]
     if len(frames) == 1:
-        return frames[0].withColumnRenamed("_id", id_col)
-    every = functools.reduce(DataFrame.unionByName, frames)
-    merged = every.groupBy("_id").agg(  # as many rows an id as there are blocks
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        return frames[0].drop("_a", "_b").withColumnRenamed("_id", id_col)
+    # rows of the same id and text have the same result; they are merged and then given as often as they were there
+    every = functools.reduce(DataFrame.unionByName, (f.withColumn("_block", F.lit(k)) for k, f in enumerate(frames)))
+    merged = every.groupBy("_id", "_a", "_b").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_sort(F.flatten(F.transform(F.collect_set(F.struct("_block", "items")), lambda x: x["items"]))).alias("items"),
+        (F.count(F.lit(1)) / len(frames)).cast("int").alias("_rows"),
     )
     joined = F.aggregate(
         "spans",
@@ -250,7 +256,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e")))),
         ).otherwise(F.concat(a, F.array(x))),
     )
-    return merged.withColumn("spans", joined).withColumnRenamed("_id", id_col)
+    whole = merged.withColumn("spans", joined).withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows")))
+    return whole.select(F.col("_id").alias(id_col), "n_words", "spans", "items")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -272,12 +279,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_
     arrow_batches(spark)
     at = docs.columns.index(text_col)
     size = docs.columns.index(length_col) if length_col in docs.columns else None
-    for block in _blocks(benchmark, item_col, item_text):
-        docs = docs.mapInArrow(_cutter(spark.sparkContext.broadcast(Phrases(block)), at, size), docs.schema)
-    return docs
+    sent = [spark.sparkContext.broadcast(Phrases(block)) for block in _blocks(benchmark, item_col, item_text)]
+    return docs.mapInArrow(_cutter(sent, at, size), docs.schema)
 
 
-def _cutter(sent, at: int, size: int | None):
+def _cutter(sent: list, at: int, size: int | None):
     def go(batches):
         import pyarrow as pa
 
@@ -285,12 +291,16 @@ def _cutter(sent, at: int, size: int | None):
             texts = b.column(at).cast(pa.binary()).to_pylist()
             keep, changed, todo = [True] * len(texts), False, list(range(len(texts)))
             while todo:
-                found = search_shard([texts[k] for k in todo], sent.value)
-                todo = [k for k, f in zip(todo, found) if f[1]]
-                for k, spans in zip(todo, (f[1] for f in found if f[1])):
-                    texts[k] = without(texts[k], spans)
-                    keep[k] = bool(words(texts[k]))
-                    changed = True
+                hit = set()
+                for block in sent:
+                    found = search_shard([texts[k] for k in todo], block.value)
+                    for k, f in zip(todo, found):
+                        if f[1]:
+                            texts[k] = without(texts[k], f[1])
+                            keep[k] = bool(words(texts[k]))
+                            changed = True
+                            hit.add(k)
+                todo = sorted(hit)
             if changed:
                 column = pa.array(texts, type=pa.binary()).cast(b.schema.field(at).type)
                 columns = [*b.columns]

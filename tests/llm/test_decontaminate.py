@@ -81,3 +81,25 @@ def test_clean(spark):
     assert got == {1: ("Before. , after", 15), 2: ("clean text", None), 4: (None, 0)}
     assert D.clean(docs.limit(0), bench).count() == 0
     assert D.clean(docs, bench.limit(0)).count() == 5
+
+
+def test_blocks_keep_every_row_and_count_each_item(spark, monkeypatch):
+    a, b = " ".join(f"a{k}" for k in range(9)), " ".join(f"b{k}" for k in range(9))
+    docs = spark.createDataFrame([(1, f"{a} x"), (1, f"y {b}"), (2, f"{a} {b}"), (2, f"{a} {b}"), (None, a), (None, "none"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, a), (7, b), (7, a), (8, b)], "item_id long, text string").coalesce(1)
+
+    def rows():
+        return sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in D.contamination(docs, bench).collect())
+
+    whole = rows()
+    monkeypatch.setattr(D, "BLOCK_WORDS", 9)
+    assert len(whole) == 7 and ("2", 18, [(0, 18)], ["7", "7", "7", "8"]) in whole
+    assert rows() == whole
+
+
+def test_clean_goes_back_to_earlier_blocks(spark, monkeypatch):
+    a, b = [f"a{k}" for k in range(8)], [f"b{k}" for k in range(8)]
+    docs = spark.createDataFrame([(1, " ".join([*a[:4], *b, *a[4:], "rest"]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 8)
+    assert [r.text.split() for r in D.clean(docs, bench).collect()] == [["rest"]]
