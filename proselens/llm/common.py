@@ -32,13 +32,16 @@ def arrow_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only a session that names none (tests, a laptop) gets one of its own.
+    A session that names none gets a folder of its own if it runs in one process (tests, a laptop); on a cluster that is an error,
+    since rows written to an executor's own disk would be missing later.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="proselens-")
@@ -62,3 +65,21 @@ def spaced(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text, modulo folds; a null id is fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+#: A key with more than one in so many rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def skewed_join(rows: DataFrame, found: DataFrame, keys: list[str], size: str, spread: str) -> DataFrame:
+    """rows with the other columns of found, which has one row for each key and in `size` the number of its rows.
+
+    The keys of more than one in HOT_SHARE rows, fewer than HOT_SHARE in number, are broadcast; their rows are dealt by `spread` instead of the
+    key, so that no task gets a hot key's rows together.
+    """
+    total = found.agg(F.sum(size)).first()[0] or 0
+    values = F.struct(*(c for c in found.columns if c not in keys))
+    hot = F.broadcast(found.filter(F.col(size) * HOT_SHARE > total).select(*keys, values.alias("_hot")))
+    marked = rows.join(hot, keys, "left").withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1))
+    cold = found.select(*keys, values.alias("_cold"), F.lit(0).cast("long").alias("_deal"))
+    return marked.join(cold, [*keys, "_deal"], "left").select(*rows.columns, F.coalesce("_hot", "_cold").alias("_found")).select(*rows.columns, "_found.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselens.llm.common import spaced, stash, table
+from proselens.llm.common import skewed_join, spaced, stash, table
 
 #: Rows of one digest are spread over so many groups before they meet.
 SALTS = 16
@@ -34,15 +34,18 @@ def exact_classes(rows: DataFrame) -> DataFrame:
     return salted.groupBy("_digest", "_content").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def _clash(found: DataFrame) -> bool:
+    return not found.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256."""
     rows = _rows(docs, id_col, text_col)
     found = stash(exact_classes(rows).drop("_content"), "classes")
-    clash = found.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if clash.isEmpty():  # a digest names one content, so the slim join decides on full content too
-        joined = rows.select("_id", "_digest").join(found, "_digest")
-    else:
-        joined = rows.join(exact_classes(rows), ["_digest", "_content"])
+    if _clash(found):
+        joined = skewed_join(rows, exact_classes(rows), ["_digest", "_content"], "group_size", "_id")
+    else:  # a digest names one content, so the slim join decides on full content too
+        joined = skewed_join(rows.select("_id", "_digest"), found, ["_digest"], "group_size", "_id")
     return joined.select(
         F.col("_id").alias(id_col),
         "keep_id",
@@ -53,9 +56,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text appears under no smaller id, with all their columns."""
-    marks = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_keep"))
-    return docs.join(marks.distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows of docs that hold their text's kept id, with all their columns. Id and content decide together, and as the
+    join's key holds the id, the copies of one text are spread over all tasks."""
+    found = stash(exact_classes(_rows(docs, id_col, text_col)).drop("_content", "group_size"), "classes")
+    keys = ["_digest"]
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), spaced(F.col(f"`{text_col}`")).alias("_content"))
+    if _clash(found):
+        found, keys = exact_classes(_rows(docs, id_col, text_col)), ["_digest", "_content"]
+    rows = rows.withColumn("_digest", F.sha2("_content", 256)).select("_row", "_id", *keys)
+    same = [rows[k] == found[k] for k in keys]
+    return rows.join(found, [*same, rows["_id"].eqNullSafe(found["keep_id"])], "left_semi").select("_row.*")
 
 
 def op4_exact_dedup(spark, sf_dir):

@@ -7,12 +7,15 @@ distance. Links between different fingerprints are closed by connected component
 
 Copies share a fingerprint and enter the index once. Within a bucket, pairs are compared, but only
 a spanning forest of the verified links leaves it. A bucket of more than HOT fingerprints is dealt
-out again by a second wildcard over the other segment, where any two that meet are within two bits,
-so groups of any size stay distributed (exact for two segments and a limit of two or three bits).
+out again by a second wildcard over another segment, so groups of any size stay distributed. For two segments and a limit of two bits
+this is exact, since any two that meet again are within two bits. For more segments the members within SURE bits of one
+of the bucket's hubs link to that hub; the others meet again if they share a second key (of two texts that share 0.8 of their
+shingles 0.90 do, instead of the 0.98 that share one).
 
 Defined results: null or empty text has fingerprint zero; fewer words than a shingle make one
-shingle of all; rows that repeat an id count as one; a null id takes part and shows null
-where no other id is in its component; an empty table gives no rows.
+shingle of all; ids may be of any type that sorts; a component has the smallest id of its rows, a null id takes part and shows null
+where no other id is in its component; rows that share an id stand each for themselves, so their texts link only if they are close;
+repeated rows have equal results; very long texts are read whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselens.llm.common import LOWER, arrow_batches, stash, table
+from proselens.llm.common import LOWER, arrow_batches, skewed_join, stash, table
 from proselens.llm.components import components
 
 LANE = 64
@@ -33,8 +36,10 @@ HOT = 4096
 SMALL = 12
 #: Bits between the forests of one bucket.
 LAYER = 4
-#: Stands for a null id among nodes.
-NO_ID = 1 << 62
+#: Of 128 bits, within which members of a bucket link to its hub; a similarity of 0.8 differs in 19 on average.
+SURE = 12
+#: Hubs that a hot bucket has.
+HUBS = 16
 
 
 def shingles(text: bytes | None, size: int) -> list[bytes]:
@@ -60,9 +65,11 @@ def mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, size: int = 3, lanes: int = 1) -> list[int]:
-    """One unsigned 64-bit integer a lane."""
+def fingerprint(text: bytes | None, size: int = 3, lanes: int = 1, repeats: bool = True) -> list[int]:
+    """One unsigned 64-bit integer a lane. Without repeats each different shingle has one vote."""
     found = shingles(text, size)
+    if not repeats:
+        found = list(set(found))
     votes = np.zeros(LANE * lanes, dtype=np.int64)
     for at in range(0, len(found), 1 << 13):
         h = hashes(found[at : at + (1 << 13)])
@@ -71,18 +78,20 @@ def fingerprint(text: bytes | None, size: int = 3, lanes: int = 1) -> list[int]:
     return np.packbits(votes * 2 > len(found)).view(">u8").tolist()
 
 
-def fingerprints(docs: DataFrame, size: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, lanes: int, repeats: bool, id_col: str, text_col: str) -> DataFrame:
+    """_id, _t (a hash that tells the texts of one id apart), f0.. of each row."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_t"), text.cast("binary").alias("_text"))
 
     def go(batches):
         import pyarrow as pa
 
         for b in batches:
-            got = np.array([fingerprint(t, size, lanes) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, k]) for k in range(lanes))], names=["_id", *(f"f{k}" for k in range(lanes))])
+            got = np.array([fingerprint(t, size, lanes, repeats) for t in b.column(2).to_pylist()], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(got[:, k]) for k in range(lanes))], names=["_id", "_t", *(f"f{k}" for k in range(lanes))])
 
-    return rows.mapInArrow(go, "_id long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return rows.mapInArrow(go, f"_id {rows.schema['_id'].dataType.simpleString()}, _t long, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
 class Cut:
@@ -123,11 +132,28 @@ def close(diff: np.ndarray, limit: int, seen: int | None = None) -> np.ndarray:
     return np.bitwise_count(diff[:, :seen]).sum(axis=1, dtype=np.int64) <= limit
 
 
+def hubs(f: np.ndarray, cut: Cut, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of hubs and whose within SURE bits of each: the one nearest to the majority of those left, while it has company.
+    What hangs around one text so links to that text in every bucket, whoever else is in it."""
+    left = np.arange(len(f))
+    while len(left) > 1 and most:
+        bits = np.unpackbits(f[left, : cut.seen].astype(">u8").view(np.uint8).reshape(len(left), -1), axis=1)
+        middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(left)).view(">u8").astype(np.uint64)
+        hub = left[np.bitwise_count(f[left, : cut.seen] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
+        near = close(f[left] ^ f[hub], SURE, cut.seen)
+        if near.sum() < 2:
+            return
+        yield int(hub), left[near]
+        left = left[~near]
+        most -= 1
+
+
 def forests(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
-    """Where links are verified later, the forest grows by LAYER bits up to the limit, the closest links first: what hangs
-    together within so many bits still does so when wider links of the bucket fail."""
+    """Where links are verified later: first stars of at most SURE bits around hubs, then a forest between what is not yet together, grown
+    by LAYER bits up to the limit, the closest links first: what hangs together within so many bits still does so when
+    wider links of the bucket fail."""
     if cut.seen == cut.lanes:
-        yield from forest(key, f, cut, cut.limit)
+        yield from ((x, y) for x, y, own in forest(key, f, cut, cut.limit) if own)
         return
     root = list(range(len(f)))
 
@@ -137,16 +163,29 @@ def forests(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
             x = root[x]
         return x
 
-    for limit in [*range(LAYER, cut.limit, LAYER), cut.limit]:
-        for x, y in forest(key, f, cut, limit):
+    k = np.uint64(key)
+    for hub, star in hubs(f, cut, len(f)):
+        new = cut.new(np.full(len(star), k), f[star] ^ f[hub])  # the others meet this hub under the first wildcard too
+        for y, own in zip(star.tolist(), new.tolist()):
+            if y != hub:
+                root[y] = hub
+                if own:
+                    yield hub, y
+    for limit in [*range(SURE + LAYER, cut.limit, LAYER), cut.limit]:
+        roots = [find(x) for x in range(len(f))]
+        if roots.count(roots[0]) == len(roots):
+            return
+        for x, y, own in forest(key, f, cut, limit):
             a, b = find(x), find(y)
             if a != b:
                 root[b] = a
-                yield x, y
+                if own:
+                    yield x, y
 
 
-def forest(key: int, f: np.ndarray, cut: Cut, limit: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs of one bucket that are close: breadth first over those not yet reached."""
+def forest(key: int, f: np.ndarray, cut: Cut, limit: int) -> Iterator[tuple[int, int, bool]]:
+    """A spanning forest of the pairs of one bucket that are close, breadth first over those not yet reached; and whether a pair belongs
+    to this key. The others meet under the segment's first wildcard too, and hang together there."""
     left = np.arange(len(f))
     queue: list[int] = []
     k = np.uint64(key)
@@ -158,24 +197,31 @@ def forest(key: int, f: np.ndarray, cut: Cut, limit: int) -> Iterator[tuple[int,
         diff = f[left] ^ f[x]
         near = close(diff, limit, cut.seen)
         if near.any():
-            near[near] = cut.new(np.full(int(near.sum()), k), diff[near])
-            for y in left[near].tolist():
-                yield x, y
+            new = cut.new(np.full(int(near.sum()), k), diff[near])
+            for y, own in zip(left[near].tolist(), new.tolist()):
+                yield x, y, own
                 queue.append(y)
             left = left[~near]
 
 
 def second(key: np.ndarray, f: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers and key pairs of hot members: this bucket and a wildcard of the other segment; under the first wildcard also this segment as it is and two wildcards of the other."""
-    rows, one, two = [], [], []
+    """Row numbers and key pairs of hot members under a second wildcard, that of another segment.
+
+    Of two segments: this bucket and each wildcard of the other; under the first wildcard also this segment as it is and
+    two wildcards of the other. Of more: this bucket and each wildcard of the later segments; pairs that meet in an earlier one
+    as well are dealt on from there."""
+    rows, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for s in np.unique(key >> np.uint64(48)).tolist():
         at = np.flatnonzero(key >> np.uint64(48) == np.uint64(s))
-        lane, shift, width = cut.parts[1 - s]
-        other = (f[at, lane] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        for j in range(width):
-            rows.append(at)
-            one.append(key[at])
-            two.append((other & ~np.uint64(1 << j)) | np.uint64(j << 40))
+        for r in [1 - s] if exact(cut) else range(s + 1, len(cut.parts)):
+            lane, shift, width = cut.parts[r]
+            other = (f[at, lane] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            for j in range(width):
+                rows.append(at)
+                one.append(key[at])
+                two.append((other & ~np.uint64(1 << j)) | np.uint64(r << 48 | j << 40))
+        if not exact(cut):
+            continue
         first = (key[at] >> np.uint64(40)) & np.uint64(255) == 0
         at, other = at[first], other[first]
         lane, shift, width = cut.parts[s]
@@ -189,14 +235,21 @@ def second(key: np.ndarray, f: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(one), np.concatenate(two)
 
 
-def scan(batches, cut: Cut):
-    """Buckets come as runs of equal keys; small runs are compared at once, larger ones each, hot ones are dealt on."""
+def exact(cut: Cut) -> bool:
+    return len(cut.parts) == 2 and cut.limit <= 2
+
+
+def scan(batches, cut: Cut, deal: bool = True):
+    """Buckets come as runs of equal keys; small runs are compared at once, larger ones each, hot ones are dealt on.
+
+    Yields links (u, v), and members to deal on: (u, key, second key), or (u, key) where rows lack the lanes of a second key.
+    Without deal a hot bucket is compared in blocks, each with the hubs of those before."""
     key, node, f = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, cut.width), np.uint64)
-    splits = len(cut.parts) == 2 and cut.limit <= 2
-    hot = None
+    hot, middle, names = None, np.empty((0, cut.width), np.uint64), []
+    none = np.zeros(0, np.uint64)
 
     def links(u, v):
-        return u, v, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return u, v, none, none
 
     def done(key, node, f):
         if not len(key):
@@ -204,14 +257,31 @@ def scan(batches, cut: Cut):
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         size = np.diff(edge)
         run = np.repeat(size, size)
+        found = [np.zeros((0, 3), np.int64)]
         for d in range(1, min(SMALL, int(size.max()))):
             i = np.flatnonzero((key[:-d] == key[d:]) & (run[:-d] <= SMALL))
-            diff = f[i] ^ f[i + d]
-            ok = close(diff, cut.limit, cut.seen)
-            i, diff = i[ok], diff[ok]
-            i = i[cut.new(key[i], diff)]
-            if len(i):
-                yield links(node[i], node[i + d])
+            bits = np.bitwise_count((f[i] ^ f[i + d])[:, : cut.seen]).sum(axis=1, dtype=np.int64)
+            ok = bits <= cut.limit
+            found.append(np.stack((bits[ok], i[ok], i[ok] + d), axis=1))
+        x = np.concatenate(found)
+        x = x[np.argsort(x[:, 0], kind="stable")]
+        new = cut.new(key[x[:, 1]], f[x[:, 1]] ^ f[x[:, 2]])
+        root: dict[int, int] = {}
+
+        def find(n):
+            while (m := root.get(n, n)) != n:
+                n = m
+            return n
+
+        keep = run[x[:, 1]] == 2
+        for r in np.flatnonzero(~keep).tolist():  # the closest first, as in larger buckets
+            a, b = find(x[r, 1]), find(x[r, 2])
+            if a != b:
+                root[b] = a
+                keep[r] = True
+        x = x[keep & new]
+        if len(x):
+            yield links(node[x[:, 1]], node[x[:, 2]])
         for k in np.flatnonzero(size > SMALL).tolist():
             a, b = int(edge[k]), int(edge[k + 1])
             order = a + np.argsort(node[a:b], kind="stable")  # the same start in every bucket: fewer different links
@@ -219,11 +289,23 @@ def scan(batches, cut: Cut):
                 x = np.array(pairs)
                 yield links(node[order[x[:, 0]]], node[order[x[:, 1]]])
 
-    def dealt(key, node, f):
+    def dealt(key, node, f, middle, names):
         step = 512
         for a in range(0, len(key), step):
-            r, one, two = second(key[a : a + step], f[a : a + step], cut)
-            yield node[a + r], None, one, two
+            k, n, g = key[a : a + step], node[a : a + step], f[a : a + step]
+            if exact(cut):
+                r, one, two = second(k, g, cut)
+                yield n[r], None, one, two
+                continue
+            rest = np.ones(len(k), dtype=bool)
+            for hub, name in zip(middle, names):
+                diff = g ^ hub
+                near = rest & close(diff, SURE, cut.seen)
+                own = near & cut.new(k, diff) & (n != name)
+                if own.any():
+                    yield links(n[own], np.full(int(own.sum()), name))
+                rest &= ~near | (n == name)
+            yield n[rest], None, k[rest], None
 
     for b in batches:
         key = np.concatenate((key, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
@@ -232,20 +314,27 @@ def scan(batches, cut: Cut):
         while len(key):
             if hot is not None:
                 n = int(np.searchsorted(key != hot, True)) if (key != hot).any() else len(key)
-                yield from dealt(key[:n], node[:n], f[:n])
+                yield from dealt(key[:n], node[:n], f[:n], middle, names)
                 key, node, f = key[n:], node[n:], f[n:]
                 if not len(key):
                     break
                 hot = None
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((edge, [len(key)])))
-            over = np.flatnonzero(size > HOT) if splits else np.empty(0, np.int64)
+            over = np.flatnonzero(size > HOT)
             n = int(edge[over[0]]) if len(over) else int(edge[-1])
             yield from done(key[:n], node[:n], f[:n])
             key, node, f = key[n:], node[n:], f[n:]
             if not len(over):
                 break
+            if not deal:
+                yield from done(key[:HOT], node[:HOT], f[:HOT])
+                keep = np.concatenate((sorted({0, *(h for h, _ in hubs(f[:HOT], cut, HUBS))}), np.arange(HOT, len(key)))).astype(np.int64)
+                key, node, f = key[keep], node[keep], f[keep]
+                continue
             hot = key[0]
+            found = [] if exact(cut) else [h for h, _ in hubs(f[:HOT], cut, HUBS)]
+            middle, names = f[found], node[found].tolist()
     if hot is None:
         yield from done(key, node, f)
 
@@ -253,59 +342,74 @@ def scan(batches, cut: Cut):
 def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
     """nodes: node long and f0.. of different fingerprints. Links u, v that connect all that are close."""
     lanes = cut.lanes
+    fcols = [f"f{k}" for k in range(lanes)]
     cols = ["key", "node", *(f"f{k}" for k in range(cut.width))]
 
-    def variants(batches):
+    def table(key, node, f, hidden):
         import pyarrow as pa
 
+        rest = [f[:, k].view(np.int64) for k in range(cut.seen)] + ([hidden.view(np.int64)] if cut.seen < lanes else [])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), node, *rest)], names=cols)
+
+    def numbers(b, at):
+        return np.stack([b.column(at + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(lanes)], axis=1)
+
+    def variants(batches):
         for b in batches:
-            f = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(lanes)], axis=1)
+            f = numbers(b, 1)
             keys = cut.keys(f)
             n = keys.shape[1]
-            rest = [np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), *(np.repeat(f[:, k].view(np.int64), n) for k in range(cut.seen))]
-            if cut.seen < lanes:
-                rest.append(cut.hidden(f).reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.reshape(-1).view(np.int64), *rest)], names=cols)
+            yield table(keys.reshape(-1), np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), np.repeat(f, n, axis=0), cut.hidden(f).reshape(-1))
 
     def go(batches):
         import pyarrow as pa
 
         for u, v, one, two in scan(batches, cut):
             n = len(u)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(u),
-                    pa.nulls(n, pa.int64()) if v is None else pa.array(v),
-                    pa.array(one.view(np.int64)) if v is None else pa.nulls(n, pa.int64()),
-                    pa.array(two.view(np.int64)) if v is None else pa.nulls(n, pa.int64()),
-                ],
-                names=["u", "v", "one", "two"],
-            )
-
-    index = nodes.select("node", *(f"f{k}" for k in range(lanes))).mapInArrow(variants, ", ".join(f"{c} long" for c in cols))
+            null = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(u), *((null, pa.array(one.view(np.int64)), null if two is None else pa.array(two.view(np.int64))) if v is None else (pa.array(v), null, null))], names=["u", "v", "one", "two"])
+
+    def again(batches):
+        """Members of hot buckets with all lanes: their rows under each second key. The hidden bit counts all of them as new."""
+        for b in batches:
+            key, f = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), numbers(b, 2)
+            for a in range(0, len(key), 512):
+                r, one, two = second(key[a : a + 512], f[a : a + 512], cut)
+                both = mixed(one ^ mixed(two, 1), 2) & np.uint64((1 << 40) - 1)  # no wildcard number: a pair counts each time it meets
+                yield table(both | (two >> np.uint64(48) << np.uint64(48)), b.column(0).to_numpy(zero_copy_only=False)[a + r], f[a + r], np.zeros(len(r), np.uint64))
+
+    def last(batches):
+        import pyarrow as pa
+
+        for u, v, _, _ in scan(batches, cut, deal=False):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    index = nodes.select("node", *fcols).mapInArrow(variants, ", ".join(f"{c} long" for c in cols))
     met = stash(index.repartition("key").sortWithinPartitions("key").mapInArrow(go, "u long, v long, one long, two long"), "met")
-    again = met.filter("v is null").groupBy("one", "two").agg(F.min("u").alias("v"), F.collect_list("u").alias("us")).filter(F.size("us") > 1)
-    return met.filter("v is not null").select("u", "v").unionByName(again.select(F.explode("us").alias("u"), "v"))
+    links = met.filter("v is not null").select("u", "v")
+    hot = met.filter("v is null")
+    if exact(cut):  # two keys leave two bits open, so at most four fingerprints meet
+        met = hot.groupBy("one", "two").agg(F.min("u").alias("v"), F.collect_list("u").alias("us")).filter(F.size("us") > 1)
+        return links.unionByName(met.select(F.explode("us").alias("u"), "v"))
+    if hot.isEmpty():
+        return links
+    full = hot.select(F.col("u").alias("node"), "one").join(nodes, "node").select("node", "one", *fcols)
+    more = full.mapInArrow(again, ", ".join(f"{c} long" for c in cols)).repartition("key").sortWithinPartitions("key", "node")
+    return links.unionByName(more.mapInArrow(last, "u long, v long"))
 
 
-def node_of_null(fcols: list[str]):
-    return F.pmod(F.xxhash64(*fcols), F.lit(NO_ID)) + F.lit(NO_ID)
+def _text_key(id_col, text_hash):
+    return F.concat_ws("/", F.col(id_col).cast("string"), F.lit("") if text_hash is None else F.col(text_hash).cast("string"))
 
 
-def alike(links: DataFrame, docs: DataFrame, lanes: int, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The links whose texts share `least` of their shingles (Jaccard). Only texts with a link move."""
+def alike(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The links whose texts share `least` of their shingles (Jaccard). Only texts with a link move; nodes name a row by id and text hash."""
     arrow_batches(docs.sparkSession)
     pairs = stash(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    fcols = [f"f{k}" for k in range(lanes)]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
-
-    def prints(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            got = np.array([fingerprint(t, size, lanes) for t in b.column(0).to_pylist()], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, k]) for k in range(lanes))], names=["_text", *fcols])
+    named = nodes.join(ends, "node", "left_semi").select("node", _text_key("rep._id", "rep._t").alias("_k"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_t"), text.cast("binary").alias("_text")).select(_text_key("_id", "_t").alias("_k"), "_text")
 
     def sets(batches):
         import pyarrow as pa
@@ -326,36 +430,38 @@ def alike(links: DataFrame, docs: DataFrame, lanes: int, size: int, least: float
             keep = pa.array(keep, type=pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
-    null = rows.filter("node is null").select("_text").mapInArrow(prints, "_text binary, " + ", ".join(f"{c} long" for c in fcols))
-    every = rows.filter("node is not null").unionByName(null.select(node_of_null(fcols).alias("node"), "_text"))
-    own = stash(every.join(ends, "node", "left_semi").select("node", "_text").mapInArrow(sets, "node long, own array<long>"), "sets")
+    one_each = rows.join(named, "_k").groupBy("_k", "node").agg(F.first("_text").alias("_text"))  # repeated rows count once
+    own = stash(one_each.select("node", "_text").mapInArrow(sets, "node long, own array<long>"), "sets")
     one = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("x")), "u")
     two = one.join(own.select(F.col("node").alias("v"), F.col("own").alias("y")), "v")
     return two.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
 
 def near_groups(
-    docs: DataFrame, shingle: int = 5, bits: int = 36, lanes: int = 8, segments: int = 24, seen: int = 2, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, bits: int = 30, lanes: int = 8, segments: int = 24, seen: int = 2, least: float | None = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: the id, f0.. (the fingerprint's lanes as signed integers) and component_id.
+    """One row per input row: the id, _t (a hash of the text), f0.. (the fingerprint's lanes as signed integers) and component_id.
 
-    Pairs that meet and are within `bits` in the first `seen` lanes link if `least` of their shingles are shared;
-    with no `least`, all that are within `bits` link."""
+    Pairs that meet and are within `bits` in the first `seen` lanes link if `least` of their shingles are shared, and
+    fingerprints are then of different shingles; with no `least`, shingles vote as often as they stand and all that are within `bits` link."""
     fcols = [f"f{k}" for k in range(lanes)]
-    prints = stash(fingerprints(docs, shingle, lanes, id_col, text_col), "prints")
-    node = F.coalesce(F.min("_id"), node_of_null(fcols))
-    nodes = stash(prints.groupBy(*fcols).agg(node.alias("node")), "nodes")
-    links = fingerprint_links(nodes, Cut(lanes, segments, bits, seen))
-    comp = components(links if least is None else alike(links, docs, lanes, shingle, least, id_col, text_col))
-    root = F.coalesce("root", "node")
-    known = stash(nodes.join(comp, "node", "left").select(*fcols, F.when(root < NO_ID, root).alias("component_id")), "known")
-    return prints.join(known, fcols).select(F.col("_id").alias(id_col), *fcols, "component_id")
+    prints = stash(fingerprints(docs, shingle, lanes, least is None, id_col, text_col), "prints")
+    rep = F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_t")).alias("rep")
+    nodes = stash(prints.groupBy(*fcols).agg(rep, F.count(F.lit(1)).alias("rows")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = fingerprint_links(nodes.select("node", *fcols), Cut(lanes, segments, bits, seen))
+    comp = components(links if least is None else alike(links, nodes, docs, shingle, least, id_col, text_col))
+    rooted = stash(nodes.join(comp, "node", "left").select("node", *fcols, F.col("rep._id").alias("_id"), "rows", F.coalesce("root", "node").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    known = stash(skewed_join(rooted.select("node", "root", *fcols, "rows"), first, ["root"], "nodes", "node").select(*fcols, "component_id", "rows"), "known")
+    return skewed_join(prints, known, fcols, "rows", "_id").select(F.col("_id").alias(id_col), "_t", *fcols, "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that have their component's smallest id, with all their columns; rows with a null id stay."""
-    gone = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """The rows of docs that have their component's smallest id, with all their columns; rows with a null id stay. Id and text decide
+    together which row goes, so that rows that share an id stand each for themselves."""
+    gone = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"), "_t")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_gone"), F.xxhash64(F.col(f"`{text_col}`")).alias("_t"))
+    return rows.join(gone.distinct(), ["_gone", "_t"], "left_anti").select("_row.*")
 
 
 def op5_simhash_near_dedup(spark, sf_dir):

@@ -27,3 +27,18 @@ def test_content_decides_when_digests_clash(spark, monkeypatch):
 
 def test_empty(spark):
     assert X.exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (3, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "a"), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, X.exact_dedup(docs).collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, None)], key=str)
+    clash = docs.selectExpr("doc_id", "text", "text as _digest", "1 as _id", "2 as _content")
+    assert X.exact_dedup(clash).columns == clash.columns and X.exact_dedup(clash).count() == len(got)
+
+
+def test_hot_text_is_dealt_out(spark):
+    docs = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"text {i}") for i in range(3000)], "doc_id long, text string")
+    got = X.exact_groups(docs).collect()
+    assert len(got) == 3000 and {(r.keep_id, r.group_size) for r in got if r.doc_id % 3 == 0} == {(0, 1000)}
+    assert all((r.keep_id, r.group_size, r.kept) == (r.doc_id, 1, True) for r in got if r.doc_id % 3)

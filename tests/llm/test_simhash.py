@@ -108,6 +108,39 @@ def test_wide_prints_link_edited_copies(spark):
     assert sorted(r.doc_id for r in S.near_dedup(docs).collect()) == [1, 3, 4]
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (5, a + " end"), (5, b), (7, b + " end"), (7, c), (7, c), (None, c + " end"), (9, "few words"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (5, b), (7, c), (7, c), (None, c + " end"), (9, "few words"), (9, None)]
+    assert sorted(map(tuple, S.near_dedup(docs).collect()), key=str) == sorted(want, key=str)
+    named = docs.selectExpr("concat('n', doc_id) AS doc_id", "text", "1 AS component_id", "2 AS _t")
+    assert S.near_dedup(named).columns == named.columns and S.near_dedup(named).count() == len(want)
+
+
+@pytest.mark.parametrize("hot", [4096, 40])
+def test_large_buckets_link_like_small_ones(spark, monkeypatch, hot):
+    """A base and its edits, and texts of their own: one component however the buckets are cut."""
+    monkeypatch.setattr(S, "HOT", hot)
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        other = base[:]
+        for at in rng.sample(range(5, 295, 10), 3):
+            other[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(other)))
+    rows += [(1000 + i, " ".join(f"y{rng.randint(0, 10**6)}" for _ in range(300))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = S.fingerprints(docs, 5, 8, False, "doc_id", "text")
+    nodes = prints.selectExpr("_id AS node", *(f"f{k}" for k in range(8)))
+    links = S.fingerprint_links(nodes, S.Cut(8, 24, 30, 2)).distinct().collect()
+    assert len(links) < 120 * 119 // 4
+    got = {r.doc_id: r.component_id for r in S.near_groups(docs).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in rows}
+
+
 def test_pairs_at_the_stated_similarity_link(spark):
     """Pairs of known Jaccard similarity: nearly all from 0.8 on link, none below links."""
     rng = random.Random(11)
