@@ -11,6 +11,7 @@ from proselens.shipping import ship
 
 #: Rows of an Arrow batch handed to Python: long texts stay a few MB a batch.
 BATCH_ROWS = 1024
+BATCH_BYTES = 16 << 20
 
 #: A-Z to a-z and the six ASCII white-space bytes to a space; UTF-8 stays valid.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -24,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Before Python stages: bounds the rows of an Arrow batch, so that very long texts fit a worker, and ships the package."""
+    """Before Python stages: bounds the rows and bytes of an Arrow batch, so that very long texts fit a worker, and ships the package."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
