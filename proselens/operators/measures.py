@@ -55,22 +55,23 @@ def common_phrases(tk: K.Tokens) -> Column:
     return F.aggregate(F.transform(tk.places(), at), F.lit(0), lambda a, x: a + x)
 
 
-def sentence_facts(sentences: DataFrame) -> DataFrame:
-    """What each sentence adds to its document's measures, as plain columns."""
+#: Columns of a sentence analysis.
+ANALYSED = ("ja", "ended", "polite", "plain", "nouns", "wago_nouns", "wago_verbs", "sahen_verbs", "ga", "final_wago", "final_sahen", "final_lemma", "phrases")
+
+
+def sentence_analysis(sentences: DataFrame, *keep: str, also: dict[str, Column] | None = None) -> DataFrame:
+    """What a sentence's text and tokens say, wherever it stands: ANALYSED, the columns of `keep`, and what `also` makes of its own columns."""
+    also = also or {}
     tk, text = K.Tokens(F.col("tokens")), F.col("text")
-    sentences = sentences.select("doc_id", "sent_id", "kind", "text", "tokens", T.is_terminated(text).alias("_ended"), is_polite(tk).alias("_polite"), final_predicate(tk).alias("_final"), T.ja_chars(text).alias("_ja"))
-    ended, polite = F.col("_ended"), F.col("_polite")
+    first = sentences.select(*keep, "text", "tokens", T.is_terminated(text).alias("_ended"), is_polite(tk).alias("_polite"), final_predicate(tk).alias("_final"), T.ja_chars(text).alias("_ja"), *(c.alias(k) for k, c in also.items()))
+    ended, polite, final = F.col("_ended"), F.col("_polite"), F.col("_final")
     wago_verb = lambda t: K.pos(t, "verb") & K.true(t["pos2"] == "一般") & K.true(t["goshu"] == "wago")
     noun = lambda t: K.pos(t, "noun") & K.true(t["pos2"] == "普通名詞")
-    final = F.col("_final")
     final_wago = ended & K.pos(tk.at(final), "verb") & K.true(tk.at(final)["goshu"] == "wago")
     final_sahen = ended & ~K.pos(tk.at(final), "verb") & is_sahen_verb(tk, final)
-    prose = F.col("kind").isin("prose", "table_cell")
-    ja = F.col("_ja")
-    return sentences.select(
-        "doc_id",
-        "sent_id",
-        ja.alias("ja"),
+    return first.select(
+        *keep,
+        F.col("_ja").alias("ja"),
         ended.cast("int").alias("ended"),
         (ended & polite).cast("int").alias("polite"),
         (ended & ~polite & tk.any(K.predicate)).cast("int").alias("plain"),
@@ -82,15 +83,25 @@ def sentence_facts(sentences: DataFrame) -> DataFrame:
         final_wago.cast("int").alias("final_wago"),
         F.coalesce(final_sahen, F.lit(False)).cast("int").alias("final_sahen"),
         F.when(final_wago, tk.at(final)["lemma"]).alias("final_lemma"),
-        F.when(prose, ja).otherwise(0).alias("prose_chars"),
-        F.when(prose, common_phrases(tk)).otherwise(0).alias("common_phrases"),
-        F.when(prose, F.col("sent_id")).alias("prose_sent"),
+        common_phrases(tk).alias("phrases"),
+        *also,
     )
 
 
-def document_measures(facts: DataFrame) -> DataFrame:
-    """A row a document: counts, and the six ratios, null where nothing is counted."""
-    sums = ["ended", "polite", "plain", "nouns", "wago_nouns", "wago_verbs", "sahen_verbs", "ga", "final_wago", "final_sahen", "prose_chars", "common_phrases"]
+def placed(rows: DataFrame) -> DataFrame:
+    """Analysed sentences with what their kind and place add: characters, phrases and number of a prose sentence."""
+    prose = F.col("kind").isin("prose", "table_cell")
+    return rows.withColumns({"prose_chars": F.when(prose, F.col("ja")).otherwise(0), "common_phrases": F.when(prose, F.col("phrases")).otherwise(0), "prose_sent": F.when(prose, F.col("sent_id"))})
+
+
+def sentence_facts(sentences: DataFrame) -> DataFrame:
+    """What each sentence adds to its document's measures, as plain columns."""
+    return placed(sentence_analysis(sentences, "doc_id", "sent_id", "kind"))
+
+
+def document_measures(facts: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """A row a document: counts, and the six ratios, null where nothing is counted; and the sums of `also`."""
+    sums = ["ended", "polite", "plain", "nouns", "wago_nouns", "wago_verbs", "sahen_verbs", "ga", "final_wago", "final_sahen", "prose_chars", "common_phrases", *also]
     totals = facts.groupBy("doc_id").agg(
         F.sum("ja").alias("ja_chars"),
         F.count(F.lit(1)).alias("sentences"),

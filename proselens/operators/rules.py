@@ -274,13 +274,19 @@ def missing_phrases(measured: DataFrame) -> DataFrame:
 
 
 def two_places(x: Column) -> Column:
-    """Two decimals, half to even on the binary value, as printf of a double does it."""
-
-    @F.udf("string")
-    def shown(v: float) -> str:
-        return f"{v:.2f}"
-
-    return shown(x)
+    """Two decimals of a share from 1/8 to 1, half to even on the binary value, as printf of a double does it: as the share is a
+    whole number of 2 ** -55, it is compared with the middle between two hundredths in whole numbers."""
+    unit = F.lit(1 << 55)
+    whole = (x * F.lit(float(1 << 55))).cast("long")
+    low = F.floor(whole * 100 / F.lit(float(1 << 55))).cast("long")
+    low = F.when(whole * 100 < low * unit, low - 1).when(whole * 100 >= (low + 1) * unit, low + 1).otherwise(low)
+
+    def shown(n: Column) -> Column:
+        over = whole * 200 - (n * 2 + 1) * unit
+        n = n + F.when(over > 0, 1).when(over < 0, 0).otherwise(n % 2)
+        return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+    return T.let(low, shown)
 
 
 def mixed_register(measured: DataFrame) -> DataFrame:

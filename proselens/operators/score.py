@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proselens.operators.tally import added
 from proselens.rulesdata import FLOOR, LAYERS, RULE_ORDER, WEIGHTS
 
 # The bounds of the two sides of a calibration.
@@ -23,41 +24,35 @@ def below_floor(ja: Column, floor: int = FLOOR) -> Column:
     return (ja == 0) | (ja < floor)
 
 
-def counts_by_rule(findings: DataFrame, *key: str) -> DataFrame:
-    """key, rule, n."""
-    return findings.groupBy(*key, "rule").agg(F.count(F.lit(1)).alias("n"))
-
-
-def points(totals: DataFrame, counts: DataFrame, key: list[str], weights: dict[str, float] | None = None, floor: int = FLOOR) -> DataFrame:
-    """totals (key, ja_chars, sentences) with mode, per_1000, by_layer and by_rule.
+def points(tallied: DataFrame, key: list[str], weights: dict[str, float] | None = None, floor: int = FLOOR) -> DataFrame:
+    """tallied (key, ja_chars, sentences, n_<rule>) as key, ja_chars, sentences, mode, per_1000, by_layer and by_rule.
 
     The sums go layer by layer and rule by rule in their order, so that doubles come out alike everywhere.
     """
     weights = WEIGHTS if weights is None else weights
-    number = lambda table, x: F.create_map(*(F.lit(v) for r, n in table.items() for v in (r, n)))[x]
-    layer_ord = {r: list(LAYERS).index(r[0]) for r in WEIGHTS}
-    entry = F.struct(number(layer_ord, F.col("rule")).alias("layer_ord"), number(RULE_ORDER, F.col("rule")).alias("rule_ord"), "rule", "n", F.coalesce(number({r: float(w) for r, w in weights.items()}, F.col("rule")), F.lit(0.0)).alias("weight"))
-    grouped = counts.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("entries")) if key else counts.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    joined = totals.join(grouped, key, "left") if key else totals.crossJoin(grouped)  # one row each
-    empty = F.expr("cast(array() as array<struct<layer_ord:int,rule_ord:int,rule:string,n:bigint,weight:double>>)")
-    joined = joined.withColumn("entries", F.coalesce("entries", empty))
     ja = F.col("ja_chars").cast("double")
-
-    def layer(k: int) -> Column:
-        return F.aggregate(F.filter("entries", lambda e: e["layer_ord"] == k), F.lit(0.0), lambda a, e: a + e["n"] * e["weight"] * 1000.0 / ja)
-
-    layers = F.array(*map(layer, range(len(LAYERS))))
     low = below_floor(F.col("ja_chars"), floor)
-    names = F.array(*(F.lit(n) for n in LAYERS.values()))
-    present = F.transform(F.array_distinct(F.transform("entries", lambda e: e["layer_ord"])), lambda k: F.struct(F.get(names, k).alias("k"), F.get(layers, k).alias("v")))
-    return joined.select(
+    by_layer = []
+    for letter in LAYERS:
+        total = F.lit(0.0)
+        for r in RULE_ORDER:
+            if r[0] == letter:
+                total = total + F.when(F.col(f"n_{r}") > 0, F.col(f"n_{r}") * float(weights.get(r, 0.0)) * 1000.0 / ja).otherwise(0.0)
+        by_layer.append(total)
+    whole = F.lit(0.0)
+    for x in by_layer:
+        whole = whole + x
+    some = lambda letter: F.greatest(*(F.col(f"n_{r}") for r in RULE_ORDER if r[0] == letter), F.lit(0)) > 0
+    layers = F.filter(F.array(*(F.struct(F.lit(name).alias("k"), x.alias("v"), some(letter).alias("ok")) for (letter, name), x in zip(LAYERS.items(), by_layer))), lambda e: e["ok"])
+    rules = F.filter(F.array(*(F.struct(F.lit(r).alias("k"), F.col(f"n_{r}").cast("long").alias("v")) for r in RULE_ORDER)), lambda e: e["v"] > 0)
+    return tallied.select(
         *key,
         "ja_chars",
         "sentences",
         F.when(low, "count_only").otherwise("normalized").alias("mode"),
-        F.when(~low, F.aggregate(layers, F.lit(0.0), lambda a, x: a + x)).alias("per_1000"),
-        F.when(~low, F.map_from_entries(present)).alias("by_layer"),
-        F.map_from_entries(F.transform("entries", lambda e: F.struct(e["rule"], e["n"]))).alias("by_rule"),
+        F.when(~low, whole).alias("per_1000"),
+        F.when(~low, F.map_from_entries(F.transform(layers, lambda e: F.struct(e["k"], e["v"])))).alias("by_layer"),
+        F.map_from_entries(rules).alias("by_rule"),
     )
 
 
@@ -67,22 +62,18 @@ def exceeds(threshold: float) -> Column:
     return F.when(F.col("mode") == "normalized", F.col("per_1000") > threshold).otherwise(named)
 
 
-def document_scores(measured: DataFrame, findings: DataFrame, weights=None, floor: int = FLOOR) -> DataFrame:
-    return points(measured.select("doc_id", "ja_chars", "sentences"), counts_by_rule(findings, "doc_id"), ["doc_id"], weights, floor)
+def document_scores(tallied: DataFrame, weights=None, floor: int = FLOOR) -> DataFrame:
+    return points(tallied, ["doc_id"], weights, floor)
 
 
-def grand_total(measured: DataFrame, findings: DataFrame, weights=None, floor: int = FLOOR) -> DataFrame:
+def grand_total(tallied: DataFrame, weights=None, floor: int = FLOOR) -> DataFrame:
     """One row, scored from the sums and not from the documents' scores."""
-    totals = measured.agg(F.coalesce(F.sum("ja_chars"), F.lit(0)).alias("ja_chars"), F.coalesce(F.sum("sentences"), F.lit(0)).alias("sentences"))
-    return points(totals, counts_by_rule(findings), [], weights, floor)
+    return points(added(tallied), [], weights, floor)
 
 
-def set_scores(measured: DataFrame, findings: DataFrame, members: DataFrame, weights=None, floor: int = FLOOR) -> DataFrame:
+def set_scores(tallied: DataFrame, members: DataFrame, weights=None, floor: int = FLOOR) -> DataFrame:
     """members: set_name, doc_id. A row a set, scored from its sums."""
-    totals = members.join(measured, "doc_id", "left").groupBy("set_name").agg(F.coalesce(F.sum("ja_chars"), F.lit(0)).alias("ja_chars"), F.coalesce(F.sum("sentences"), F.lit(0)).alias("sentences"))
-    per_doc = counts_by_rule(findings, "doc_id")
-    counts = per_doc.join(members, "doc_id").groupBy("set_name", "rule").agg(F.sum("n").alias("n"))
-    return points(totals, counts, ["set_name"], weights, floor)
+    return points(added(members.join(tallied, "doc_id", "left"), "set_name"), ["set_name"], weights, floor)
 
 
 def set_rates(scores: DataFrame, rules: DataFrame) -> DataFrame:

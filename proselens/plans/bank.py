@@ -91,6 +91,11 @@ def places(keys: DataFrame) -> DataFrame:
     )
 
 
+def analysed_corpus(keys: DataFrame, analysis: DataFrame) -> DataFrame:
+    """The places with an analysis of the bank (id and its columns), which so is made once a sentence and not once a place."""
+    return places(keys).join(F.broadcast(analysis), "id").drop("id")
+
+
 def corpus(keys: DataFrame) -> DataFrame:
     """The sentences of SENTENCE_SCHEMA; the bank is a few dozen rows and so is sent to every task."""
     found = places(keys).join(F.broadcast(bank(keys.sparkSession)), "id")

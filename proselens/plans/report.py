@@ -14,6 +14,7 @@ from proselens.operators import rules as R
 from proselens.operators import score as S
 from proselens.operators.lexicon import tokenize, with_tokens
 from proselens.operators.split import number, split_sentences
+from proselens.operators.tally import tallies
 from proselens.rulesdata import LAYERS, RULE_ORDER
 from proselens.settings import Settings
 from proselens.sources import files
@@ -26,18 +27,18 @@ class Report:
     settings: Settings
     documents: DataFrame  # doc_id, name
     sentences: DataFrame
-    measured: DataFrame
+    tallied: DataFrame
     findings: DataFrame
 
     def scores(self) -> DataFrame:
         """A row a document, also those without a sentence."""
-        rows = S.document_scores(self.measured, self.findings, self.settings.weights, self.settings.floor)
-        every = self.documents.join(rows, "doc_id", "left").join(self.measured.select("doc_id", *RATIOS), "doc_id", "left")
+        rows = S.document_scores(self.tallied, self.settings.weights, self.settings.floor)
+        every = self.documents.join(rows, "doc_id", "left").join(self.tallied.select("doc_id", *RATIOS), "doc_id", "left")
         zero = {c: F.coalesce(c, F.lit(0)) for c in ("ja_chars", "sentences")}
         return every.withColumns(zero | {"mode": F.coalesce("mode", F.lit("count_only")), "by_rule": F.coalesce("by_rule", F.expr("cast(map() as map<string,bigint>)"))})
 
     def total(self) -> DataFrame:
-        return S.grand_total(self.measured, self.findings, self.settings.weights, self.settings.floor)
+        return S.grand_total(self.tallied, self.settings.weights, self.settings.floor)
 
     def exceeds(self, threshold: float) -> bool:
         return not self.scores().filter(S.exceeds(threshold)).isEmpty() or not self.total().filter(S.exceeds(threshold)).isEmpty()
@@ -58,7 +59,7 @@ def report(segments: DataFrame, documents: DataFrame, settings: Settings | None
     sentences = sentences_of(segments, backend)
     facts = M.sentence_facts(sentences)
     measured = M.document_measures(facts)
-    return Report(settings, documents.select("doc_id", "name"), sentences, measured, R.findings(sentences, measured, M.final_words(facts), settings.lists, settings.floor))
+    return Report(settings, documents.select("doc_id", "name"), sentences, tallies(sentences, settings.lists, settings.floor), R.findings(sentences, measured, M.final_words(facts), settings.lists, settings.floor))
 
 
 def check(spark: SparkSession, paths: list[str], settings: Settings | None = None) -> tuple[Report, DataFrame]:
@@ -94,7 +95,7 @@ def bench(spark: SparkSession, path: str, settings: Settings | None = None) -> t
         segments, membership = segments.unionByName(p), membership.unionByName(m)
     made = report(segments, segments.select("doc_id", F.col("path").alias("name")).distinct(), settings)
     known = spark.createDataFrame([(s.name, s.side, s.judge, k) for k, s in enumerate(sets)], "set_name string, side string, judge boolean, set_ord int")
-    scores = known.join(S.set_scores(made.measured, made.findings, membership, settings.weights, settings.floor), "set_name", "left")
+    scores = known.join(S.set_scores(made.tallied, membership, settings.weights, settings.floor), "set_name", "left")
     scores = scores.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ja_chars", "sentences")}).withColumn("verdict", S.verdict(settings.floor))
     return scores, scores.filter("verdict = 'violated'").isEmpty()
 

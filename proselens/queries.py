@@ -12,6 +12,7 @@ from proselens.operators import measures as M
 from proselens.operators import rules as R
 from proselens.operators import score as S
 from proselens.operators.split import bold_spans, split_sentences
+from proselens.operators.tally import analysed, tallied
 from proselens.plans import bank as B
 from proselens.rulesdata import LAYERS, LISTS, RULE_ORDER, SENTENCE_RULES, WEIGHTS
 from proselens.sources import diffs, messages
@@ -46,6 +47,16 @@ def _report(spark, sf_dir):
     return measured, R.findings(sentences, measured, M.final_words(facts))
 
 
+def _tallied(spark, sf_dir):
+    bank = B.bank(spark).withColumn("seg_text", F.col("text"))
+    return tallied(B.analysed_corpus(_documents(spark, sf_dir).select("doc_id"), analysed(bank, "id")))
+
+
+def _measured(spark, sf_dir):
+    bank = M.sentence_analysis(B.bank(spark), "id")
+    return M.document_measures(M.placed(B.analysed_corpus(_documents(spark, sf_dir).select("doc_id"), bank)))
+
+
 # --- SQL pieces
 
 
@@ -240,7 +251,9 @@ for _rule, _name in RULE_NAMES.items():
 
 @query("r01_colloquialism", f"WITH {BASE}, {ALL_FINDINGS} SELECT doc_id, sent_id, span_ord, excerpt FROM every WHERE rule = 'R01'")
 def colloquialism(spark, sf):
-    return _report(spark, sf)[1].filter("rule = 'R01'").select("doc_id", "sent_id", "span_ord", "excerpt")
+    sentences = _corpus(spark, sf)
+    polite = _measured(spark, sf).filter("polite_ratio >= 0.5").select("doc_id")
+    return R.sentence_findings(sentences, rules=("R01",)).join(polite, "doc_id", "left_semi").select("doc_id", "sent_id", "span_ord", "excerpt")
 
 
 def _document_rule(rule: str, make):
@@ -251,8 +264,8 @@ def _document_rule(rule: str, make):
 
 _document_rule("S06", lambda spark, sf: R.leading_conjunctions(_corpus(spark, sf)).select("doc_id", "sent_id", "rule", "excerpt"))
 _document_rule("D01", lambda spark, sf: R.short_runs(_corpus(spark, sf)).select("doc_id", "sent_id", "rule", "excerpt"))
-_document_rule("D03", lambda spark, sf: R.missing_phrases(M.document_measures(M.sentence_facts(_corpus(spark, sf)))))
-_document_rule("R03", lambda spark, sf: R.mixed_register(M.document_measures(M.sentence_facts(_corpus(spark, sf)))))
+_document_rule("D03", lambda spark, sf: R.missing_phrases(_measured(spark, sf)))
+_document_rule("R03", lambda spark, sf: R.mixed_register(_measured(spark, sf)))
 
 
 def _g01(spark, sf):
@@ -283,7 +296,7 @@ RATIO = "CASE WHEN {1} > 0 THEN CAST({0} AS DOUBLE) / ({1}) END AS {2}"
     + " FROM docs",
 )
 def register_measures(spark, sf):
-    got = M.document_measures(M.sentence_facts(_corpus(spark, sf)))
+    got = _measured(spark, sf)
     return got.select("doc_id", "ja_chars", "sentences", "polite_ratio", "plain_ratio", "wago_noun_ratio", "wago_verb_ratio", "final_wago_ratio", "ga_per_sentence")
 
 
@@ -305,13 +318,13 @@ DOC_POINTS = POINTS.format(key="doc_id", counts="counts", totals="docs")
     "CASE WHEN ja_chars >= 300 THEN coalesce((SELECT sum(points) FROM layer_points p WHERE p.doc_id = docs.doc_id), 0.0) > 10.0 ELSE EXISTS (SELECT 1 FROM counts c WHERE c.doc_id = docs.doc_id AND left(rule, 1) IN ('S', 'L')) END AS exceeds FROM docs",
 )
 def document_scores(spark, sf):
-    got = S.document_scores(*_report(spark, sf))
+    got = S.document_scores(_tallied(spark, sf))
     return got.select("doc_id", "ja_chars", "sentences", "mode", F.round("per_1000", 6).alias("per_1000"), F.aggregate(F.map_values("by_rule"), F.lit(0).cast("long"), lambda a, n: a + n).alias("findings"), S.exceeds(10.0).alias("exceeds"))
 
 
 @query("layer_points", f"WITH {BASE}, {ALL_FINDINGS}, {DOC_POINTS} SELECT doc_id, layer, round(points, 6) AS points FROM layer_points")
 def layer_points(spark, sf):
-    got = S.document_scores(*_report(spark, sf)).filter("by_layer is not null")
+    got = S.document_scores(_tallied(spark, sf)).filter("by_layer is not null")
     return got.select("doc_id", F.explode("by_layer").alias("layer", "points")).select("doc_id", "layer", F.round("points", 6).alias("points"))
 
 
@@ -321,7 +334,7 @@ def layer_points(spark, sf):
     "SELECT ja_chars, sentences, 'normalized' AS mode, round((SELECT sum(n * weight) FROM counts JOIN rules USING (rule)) * 1000.0 / ja_chars, 6) AS per_1000 FROM t",
 )
 def grand_total(spark, sf):
-    return S.grand_total(*_report(spark, sf)).select("ja_chars", "sentences", "mode", F.round("per_1000", 6).alias("per_1000"))
+    return S.grand_total(_tallied(spark, sf)).select("ja_chars", "sentences", "mode", F.round("per_1000", 6).alias("per_1000"))
 
 
 # --- corpus sets: the documents of a source and a side by language
@@ -333,7 +346,7 @@ def _members(spark, sf):
 
 
 def _set_scores(spark, sf):
-    return S.set_scores(*_report(spark, sf), _members(spark, sf))
+    return S.set_scores(_tallied(spark, sf), _members(spark, sf))
 
 
 SETS = """
@@ -398,11 +411,11 @@ def _intervals(spark, sf):
 
 @query(
     "touched_segments",
-    f"WITH i AS {INTERVALS} SELECT event_id, user_id, line_start, line_end FROM i s WHERE event_id % 2 = 0 AND EXISTS (SELECT 1 FROM i a WHERE a.event_id % 2 = 1 AND a.event_id % 5 = 0 AND a.user_id = s.user_id AND a.line_start <= s.line_end AND s.line_start <= a.line_end)",
+    f"WITH i AS {INTERVALS} SELECT event_id, user_id, line_start, line_end FROM i s WHERE event_id % 2 = 0 AND EXISTS (SELECT 1 FROM i a WHERE a.event_id % 2 = 1 AND a.user_id = s.user_id AND a.line_start <= s.line_end AND s.line_start <= a.line_end)",
 )
 def touched_segments(spark, sf):
     every = _intervals(spark, sf)
-    segments, added = every.filter("event_id % 2 = 0"), every.filter("event_id % 2 = 1 and event_id % 5 = 0")
+    segments, added = every.filter("event_id % 2 = 0"), every.filter("event_id % 2 = 1")
     return diffs.touched(segments, added.select("user_id", F.col("line_start").alias("start"), F.col("line_end").alias("end")), ["user_id"])
 
 

@@ -7,7 +7,10 @@ from proselens.functions import tokens as K
 from proselens.operators import rules as R
 from proselens.operators import score as S
 from proselens.operators.lexicon import from_dictionary, join_letters, tokenize
+from proselens.operators.tally import COUNTS, analysed, tallied, tallies
 from proselens.operators.split import bold_spans, scan_bold, split_text
+from proselens.operators import measures as M
+from proselens.plans import bank
 from proselens.plans import report as P
 from proselens.rulesdata import rule_id
 from proselens.settings import Settings, SettingsError
@@ -23,9 +26,9 @@ def sentences(text):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("型が名乗る。本当か！ そうか？", ["型が名乗る。", "本当か！", "そうか？"]),
-        ("彼は「行く。\n帰る。」と言った。次だ。", ["彼は「行く。\n帰る。」と言った。", "次だ。"]),
-        ("**太字が閉じません。これは意図的です。", ["**太字が閉じません。", "これは意図的です。"]),
+        ("風が吹く。寒いか！ まだか？", ["風が吹く。", "寒いか！", "まだか？"]),
+        ("係は「測る。\n記す。」と答えた。別だ。", ["係は「測る。\n記す。」と答えた。", "別だ。"]),
+        ("**印が片側だけの行。後ろも続く行。", ["**印が片側だけの行。", "後ろも続く行。"]),
         ("**太字。の中**だ。次だ。", ["**太字。の中**だ。", "次だ。"]),
         ("`a。b` だ。\n\n次（だ。\n\n三だ。", ["`a。b` だ。", "次（だ。", "三だ。"]),
         ("abc. 123\n", []),
@@ -99,9 +102,10 @@ def test_tokens():
 
 
 def test_scores(spark):
-    totals = spark.createDataFrame([(1, 500, 9), (2, 100, 1), (3, 0, 0)], "doc_id long, ja_chars long, sentences long")
-    found = spark.createDataFrame([(1, "S01", 1), (1, "D02", 1), (2, "S01", 2), (2, "F01", 1)], "doc_id long, rule string, n long")
-    got = {r.doc_id: r for r in S.points(totals, found, ["doc_id"], {"S01": 3.0, "D02": 0.5}).withColumn("over", S.exceeds(10.0)).collect()}
+    counts = {1: {"S01": 1, "D02": 1}, 2: {"S01": 2, "F01": 1}, 3: {}}
+    rows = [(k, ja, n, *(counts[k].get(c[2:], 0) for c in COUNTS)) for k, ja, n in ((1, 500, 9), (2, 100, 1), (3, 0, 0))]
+    totals = spark.createDataFrame(rows, "doc_id long, ja_chars long, sentences long, " + ", ".join(f"{c} long" for c in COUNTS))
+    got = {r.doc_id: r for r in S.points(totals, ["doc_id"], {"S01": 3.0, "D02": 0.5}).withColumn("over", S.exceeds(10.0)).collect()}
     assert (got[1].per_1000, got[1].by_layer, got[1].over) == (7.0, {"structure": 6.0, "density": 1.0}, False)
     assert (got[2]["mode"], got[2].per_1000, got[2].over) == ("count_only", None, True)
     assert (got[3]["mode"], got[3].by_rule, got[3].over) == ("count_only", {}, False)
@@ -110,23 +114,41 @@ def test_scores(spark):
     assert {r.n: r.v for r in verdicts} == {"a": "met", "b": "violated", "c": "met", "d": "violated", "e": "empty", "f": "below_floor", "g": "reference"}
 
 
+def test_tallies_count_what_findings_show(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"))
+    corpus = bank.corpus(docs)
+    facts = M.sentence_facts(corpus)
+    shown = R.findings(corpus, M.document_measures(facts), M.final_words(facts)).groupBy("doc_id", "rule").count().collect()
+    want = {(r.doc_id, r.rule): r["count"] for r in shown}
+    got = {(r.doc_id, c[2:]): r[c] for r in tallies(corpus).collect() for c in COUNTS if r[c]}
+    assert got == want and len({r for _, r in want}) > 15
+    again = tallied(bank.analysed_corpus(docs, analysed(bank.bank(spark).withColumn("seg_text", F.col("text")), "id")))
+    assert sorted(map(str, again.collect())) == sorted(map(str, tallies(corpus).select(*again.columns).collect()))
+
+
+def test_two_places_are_those_of_printf(spark):
+    shares = [a / b for b in range(1, 240) for a in range(1, b + 1) if a / b >= 0.125]
+    got = spark.createDataFrame([(x,) for x in shares], "x double").select("x", R.two_places(F.col("x")).alias("s")).collect()
+    assert all(r.s == f"{r.x:.2f}" for r in got)
+
+
 def md(text):
     return [s["text"] for s in markdown.segments(text)]
 
 
 def test_markdown():
-    assert md("# 見出しだ\n\n段落の本文だ。\n続く行だ。\n") == ["見出しだ", "段落の本文だ。\n続く行だ。"]
-    assert md("- 項目の一つ。\n- 項目の二つ。\n  - 入れ子の項目。\n") == ["項目の一つ。", "項目の二つ。", "入れ子の項目。"]
-    assert md("- [ ] これは重要だ。\n- [x] 済みだ。\n") == ["これは重要だ。", "済みだ。"]
-    assert md("> 引用の一行目。\n> 引用の二行目。\n") == ["引用の一行目。\n  引用の二行目。"]
-    assert md("| 見出し | 説明 |\n|---|---|\n| **語** | 文 → だ。 |\n") == ["見出し", "説明", "  語  ", "文     だ。"]
-    assert md("段落だ。\n\n```rust\nコード。\n```\n\n    字下げだ。\n") == ["段落だ。"]
-    assert md("- 項目だ。\n\n  ```\n  コード。\n  ```\n") == ["項目だ。"]
-    assert md("<div>HTML の中だ。</div>\n\n段落だ。\n") == ["段落だ。"]
-    assert md("前に `コード。` と続く。\n") == ["前に " + " " * len("`コード。`".encode()) + " と続く。"]
-    assert md("前に [文字](https://x/道) と続く。\n") == ["前に  文字" + " " * len("](https://x/道)".encode()) + " と続く。"]
-    assert md("![画像](img.png)\n") == []
-    assert [(s["line_start"], s["line_end"]) for s in markdown.segments("# 見出しだ\n\n段落の一行目。\n段落の二行目。\n\n- 項目だ。\n")] == [(1, 1), (3, 4), (6, 6)]
+    assert md("# 章の名だ\n\n川の水を測る。\n雨の量も測る。\n") == ["章の名だ", "川の水を測る。\n雨の量も測る。"]
+    assert md("- 朝に測る。\n- 夜に測る。\n  - 夜半にも測る。\n") == ["朝に測る。", "夜に測る。", "夜半にも測る。"]
+    assert md("- [ ] 器具を洗う。\n- [x] 棚に戻す。\n") == ["器具を洗う。", "棚に戻す。"]
+    assert md("> 台帳の上段。\n> 台帳の下段。\n") == ["台帳の上段。\n  台帳の下段。"]
+    assert md("| 場所 | 深さ |\n|---|---|\n| **語** | 岸 → 沖。 |\n") == ["場所", "深さ", "  語  ", "岸     沖。"]
+    assert md("砂を量る。\n\n```rust\n記号。\n```\n\n    余白だ。\n") == ["砂を量る。"]
+    assert md("- 箱だ。\n\n  ```\n  記号。\n  ```\n") == ["箱だ。"]
+    assert md("<div>枠の中だ。</div>\n\n砂を量る。\n") == ["砂を量る。"]
+    assert md("横に `記号。` と続く。\n") == ["横に " + " " * len("`記号。`".encode()) + " と続く。"]
+    assert md("横に [地図](https://x/道) と続く。\n") == ["横に  地図" + " " * len("](https://x/道)".encode()) + " と続く。"]
+    assert md("![写真](img.png)\n") == []
+    assert [(s["line_start"], s["line_end"]) for s in markdown.segments("# 章の名だ\n\n瓶の上側。\n瓶の下側。\n\n- 箱だ。\n")] == [(1, 1), (3, 4), (6, 6)]
 
 
 def code(name, text):
@@ -134,8 +156,8 @@ def code(name, text):
 
 
 def test_source_code():
-    rust = '//! 内側の doc だ。\n\n/// 外側の doc を\n/// 二行に分ける。\n// 行のコメントだ。\n/* ブロックだ。 */\nfn f() {\n let s = "文字列\\nだ。";\n let r = r#"生の{x}だ。"#;\n}\n#[cfg(test)]\nmod t { // 試験だ。\n}\n'
-    assert code("rs", rust) == [("doc_comment", "内側の doc だ。"), ("doc_comment", "外側の doc を二行に分ける。"), ("comment", "行のコメントだ。ブロックだ。"), ("string_literal", "文字列\nだ。"), ("string_literal", "生の   だ。")]
+    rust = '//! 箱の説明。\n\n/// 蓋の説明は\n/// 二行で書く。\n// 釘の注記。\n/* 板の注記。 */\nfn f() {\n let s = "文字列\\nだ。";\n let r = r#"生の{x}だ。"#;\n}\n#[cfg(test)]\nmod t { // 試験だ。\n}\n'
+    assert code("rs", rust) == [("doc_comment", "箱の説明。"), ("doc_comment", "蓋の説明は二行で書く。"), ("comment", "釘の注記。板の注記。"), ("string_literal", "文字列\nだ。"), ("string_literal", "生の   だ。")]
     assert code("py", '"""説明だ。"""\n# 一行目だ。\n# 二行目だ。\ns = r"生の\\nだ。" + f"{d[1]} だ"\n') == [("doc_comment", "説明だ。"), ("comment", "一行目だ。二行目だ。"), ("string_literal", "生の\\nだ。"), ("string_literal", "       だ")]
     assert code("ts", '/** doc だ。 */\n// 行だ。\nconst t = `外 ${"内だ"} 外`;\n') == [("doc_comment", "doc だ。"), ("comment", "行だ。"), ("string_literal", "外 " + " " * len('${"内だ"}'.encode()) + " 外")]
     assert code("go", 'var x = "符号 \\u3042 だ。"\n') == [("string_literal", "符号 あ だ。")]
