@@ -11,7 +11,7 @@ from proselens.shipping import ship
 
 #: Rows of an Arrow batch handed to Python: long texts stay a few MB a batch.
 BATCH_ROWS = 1024
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: A-Z to a-z and the six ASCII white-space bytes to a space; UTF-8 stays valid.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -80,9 +80,14 @@ def parse(source: str) -> Node:
             if "a" in inline:
                 here.linked += n
 
+    opened: dict[str, int] = {}  # tags on the way up, so that what closes nothing does not climb
+
     def close(to: Node) -> None:
+        """Goes up to a node above."""
         nonlocal here
-        here = to
+        while here is not to:
+            opened[here.tag] -= 1
+            here = here.parent
         inline.clear()
 
     while m := scan.search():
@@ -106,10 +111,10 @@ def parse(source: str) -> Node:
                 if name in inline:
                     del inline[len(inline) - 1 - inline[::-1].index(name)]
                 continue
-            x = here
-            while x is not root and x.tag != name:
-                x = x.parent
-            if x is not root:
+            if opened.get(name):
+                x = here
+                while x.tag != name:
+                    x = x.parent
                 close(x.parent)
             continue
         here.tags += 1
@@ -137,13 +142,13 @@ def parse(source: str) -> Node:
             elif name not in VOID:
                 inline.append(name)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened.get("p"):
             x = here
             while x.tag not in ("p", "body", "td", "th", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "li", "blockquote"):
                 x = x.parent
             if x.tag == "p":
                 close(x.parent)
-        if name in SIBLING:
+        if name in SIBLING and any(opened.get(t) for t in SIBLING[name][0]):
             own, border = SIBLING[name]
             x, found = here, None
             while x is not root and x.tag not in border:
@@ -154,7 +159,9 @@ def parse(source: str) -> Node:
                 close(found.parent)
         node = Node(name, here, attrs)
         here.items.append(node)
-        close(node)
+        here = node
+        opened[name] = opened.get(name, 0) + 1
+        inline.clear()
     if silent is None:
         say(source[at:])
     return root

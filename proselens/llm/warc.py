@@ -8,21 +8,26 @@ three kinds of record through these identifiers into one nested row a capture.
 
 Defined results: null html is an empty payload; payloads under min_bytes are never revisits; of pages with one
 payload the smallest id is the response and rows that repeat that id are responses too; null ids come
-after all others and revisit; repeated rows are captures of their own; urls may hold anything.
+after all others and revisit; ids are whole numbers; repeated rows are captures of their own; urls may hold anything; payloads of any
+length are whole records; other columns are ignored, whatever their names; no pages give no captures.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.llm.common import arrow_batches, shared_dir, stash, table
+from proselens.llm.common import arrow_batches, shared_dir, skewed_join, stash, table
 
-#: Records a file holds at most; a reader takes one file at a time.
-FILE_RECORDS = 6000
+#: Bytes and records that a file is meant to hold; a reader takes one file at a time, compressed, and one record of it.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 6000
+#: Bytes a record's headers may have.
+HEAD = 1 << 20
 DATE = "2026-01-01T00:00:00Z"
 LF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,9 +60,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     ).withColumn("_digest", base32_sha1(F.col("_html").cast("binary")))
     size = F.octet_length("_html")
     first = stash(
-        rows.filter(size >= min_bytes).groupBy("_digest").agg(F.min("_id").alias("_first"), F.min_by("_url", "_id").alias("_first_url")), "payloads"
+        rows.filter(size >= min_bytes).groupBy("_digest").agg(F.min("_id").alias("_first"), F.min_by("_url", "_id").alias("_first_url"), F.count(F.lit(1)).alias("_rows"), F.max(size).alias("_size")), "payloads"
     )
-    rows = rows.join(first, "_digest", "left").withColumn("_row", F.monotonically_increasing_id())
+    total, bytes_ = first.agg(F.sum("_rows"), F.sum("_size")).first()  # a revisit has no payload
+    fit = max(3, min(FILE_RECORDS, int(FILE_BYTES * 3 * (total or 1) // ((bytes_ or 0) + 1500 * (total or 1)))))
+    rows = skewed_join(rows, first, ["_digest"], "_rows", "_id").withColumn("_row", F.monotonically_increasing_id())
     again = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     safe = lambda url: F.regexp_replace(url, r"[\x00-\x20\x7F]", "_")  # noqa: E731  headers are lines; the exact url is in the metadata
     target = ("WARC-Target-URI", safe(F.col("_url")))
@@ -97,34 +104,79 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         ),
     )
     lines = rows.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", LF + LF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def parse(data: bytes):
-    """Records of a WARC file in order: headers with lower-case names, and the block."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].split(b"\r\n")
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {}
-        for line in lines:
-            name, _, value = line.partition(b":")
-            head[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        n = int(head["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end after its {n} bytes")
+    lines.write.option("lineSep", LF + LF).option("compression", "gzip").option("maxRecordsPerFile", fit).text(path)
+
+
+class Buffer:
+    """What has been read of a stream and not yet been taken."""
+
+    def __init__(self, stream):
+        self.stream, self.data = stream, bytearray()
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are there."""
+        while len(self.data) < n:
+            more = self.stream.read(max(1 << 16, n - len(self.data)))
+            if not more:
+                return False
+            self.data += more
+        return True
+
+    def find(self, mark: bytes, at: int, most: int) -> int:
+        """Where a mark begins in the first `most` bytes, or -1."""
+        while (k := self.data.find(mark, at, most)) < 0 and len(self.data) < most:
+            at = max(at, len(self.data) - len(mark) + 1)
+            if not self.fill(len(self.data) + 1):
+                break
+        return k
+
+    def skip(self, mark: bytes) -> int:
+        """Drops all before the next mark behind the first byte, or the rest; how many bytes that were."""
+        gone = 0
+        while True:
+            k = self.data.find(mark, 0 if gone else 1)
+            if k >= 0:
+                del self.data[:k]
+                return gone + k
+            keep = len(mark) - 1
+            drop = max(0, len(self.data) - keep)
+            gone += drop
+            del self.data[:drop]
+            if not self.fill(len(self.data) + 1):
+                gone += len(self.data)
+                self.data.clear()
+                return gone
+
+
+def parse(stream):
+    """Records of a WARC stream in order: headers with lower-case names, and the block. What is no whole record counts as one of type
+    `broken`, whose block is empty and whose content-length is what was passed over; reading goes on at the next line that begins with WARC/."""
+    b = Buffer(stream)
+    while b.fill(1):
+        b.fill(5)
+        end, n, head = (b.find(b"\r\n\r\n", 0, HEAD) if b.data.startswith(b"WARC/") else -1), None, {}
+        if end >= 0:
+            for line in bytes(b.data[:end]).split(b"\r\n")[1:]:
+                name, _, value = line.partition(b":")
+                head[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+            size = head.get("content-length", "")
+            n = int(size) if size.isascii() and size.isdigit() else None
+        if n is None or "warc-type" not in head or not b.fill(end + 8 + n) or b.data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
+            yield {"warc-type": "broken", "content-length": str(b.skip(b"\nWARC/"))}, b""
+            if b.data:
+                del b.data[:1]
+            continue
+        block = bytes(b.data[end + 4 : end + 4 + n])
+        del b.data[: end + 8 + n]
         yield head, block
-        at = end + 8 + n
 
 
 RECORD = "type string, record_id string, concurrent_to string, target_uri string, block_bytes long, payload_bytes long, payload_digest string, page_id long, url string, refers_to long, payload binary"
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row a record of every file under path; a response's digest is taken from its payload and must be the one in its header."""
+    """One row a record of every file under path. A response whose payload does not have the digest in its header, or a record without the
+    headers of its type, is a row of type `broken` like the bytes of no record, so one bad record does not cost the others."""
     arrow_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
@@ -140,29 +192,36 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
         schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RECORD.split(", ")])
 
         def row(head, block):
-            out = dict.fromkeys(names) | {"type": head["warc-type"], "record_id": head["warc-record-id"], "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "block_bytes": len(block)}
+            out = dict.fromkeys(names) | {"type": head["warc-type"], "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "block_bytes": len(block)}
+            if head["warc-type"] == "broken":
+                return out | {"block_bytes": int(head["content-length"])}
             if head["warc-type"] in ("response", "revisit"):
-                out["payload_digest"] = head["warc-payload-digest"].removeprefix("sha1:")
+                out["payload_digest"] = head.get("warc-payload-digest", "").removeprefix("sha1:")
                 if head["warc-type"] == "response":
-                    body = block[block.index(b"\r\n\r\n") + 4 :]
+                    body = block.partition(b"\r\n\r\n")[2]
                     if base64.b32encode(hashlib.sha1(body).digest()).decode() != out["payload_digest"]:
-                        raise ValueError(f"the payload of {head['warc-record-id']} does not have its digest")
+                        return out | {"type": "broken"}
                     out["payload_bytes"] = len(body)
                     out["payload"] = body if payloads else None
             elif head["warc-type"] == "metadata":
-                own = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if ": " in x)
-                out["page_id"] = int(own["page-id"]) if "page-id" in own else None
-                out["payload_bytes"] = int(own["payload-length"])
-                out["refers_to"] = int(own["refers-to-page"]) if "refers-to-page" in own else None
+                own = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
+                number = lambda k: int(own[k]) if re.fullmatch("-?[0-9]{1,18}|-?[0-9]{19}", own.get(k, "")) and -(2**63) <= int(own[k]) < 2**63 else None
+                out |= {"page_id": number("page-id"), "payload_bytes": number("payload-length"), "refers_to": number("refers-to-page")}
                 out["url"] = unquote_plus(own.get("url", ""))
             return out
 
         for b in batches:
             for content in b.column(0):
-                data = content.as_py()
-                rows = [row(*r) for r in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-                for a in range(0, len(rows), 2048):
-                    yield pa.RecordBatch.from_pylist(rows[a : a + 2048], schema=schema)
+                data, rows, size = io.BytesIO(content.as_py()), [], 0
+                stream = gzip.GzipFile(fileobj=data) if data.getbuffer()[:2] == b"\x1f\x8b" else data
+                for head, block in parse(stream):
+                    rows.append(row(head, block))
+                    size += len(block) if payloads else 0
+                    if len(rows) >= 2048 or size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.mapInArrow(go, RECORD)
 

@@ -59,3 +59,36 @@ def test_query(spark, tmp_path):
     text = f"Title {story} End & more"
     assert got == {1: ("u", text, len(text)), 2: (None, "", 0), 3: ("v", "", 0), None: ("w", "", 0), 5: ("x", story * 300, len(story * 300))}
     assert H.op9_html_extraction(spark, str(tmp_path)).count() == 6
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        tree = H.nodes(H.parse("<div>" * n + "a <x>b" + "</nav></section>" * n + "<p>c" * n))
+        assert H.text_of(tree[0], np.ones(len(tree), dtype=bool)).startswith("a b c c")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16000) < 12 * max(took(4000), 0.01)
+
+
+def test_decoding_is_the_best_of_all_subsets():
+    """Of all choices in which what is below a dropped node is dropped, the likeliest; a node counts by its words."""
+    rng = np.random.default_rng(4)
+    for source in ("<div><p>a b c</p><div><p>b</p><p>c</p></div></div><ul><li>d<li>e</ul>", "<div><div><div>a</div></div></div><p>b c</p>"):
+        tree = H.nodes(H.parse(source))
+        weight = np.array([1 + np.log1p(x.own) for x in tree])
+        for _ in range(20):
+            odds = rng.normal(size=len(tree)) * 2
+            own = lambda stay: (np.where(stay, -np.log1p(np.exp(-odds)), -np.log1p(np.exp(odds))) * weight).sum()
+            every = (np.array([mask >> k & 1 for k in range(len(tree))], dtype=bool) for mask in range(1 << len(tree)))
+            best = max(own(stay) for stay in every if all(stay[x.parent.n] for x in tree[1:] if stay[x.n]))
+            stay = H.decode(tree, odds)
+            assert all(stay[x.parent.n] for x in tree[1:] if stay[x.n]) and abs(own(stay) - best) < 1e-9
+
+
+def test_no_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert H.op9_html_extraction(spark, str(tmp_path)).count() == 0

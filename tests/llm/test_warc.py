@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import io
 from pathlib import Path
 
 import pytest
@@ -34,7 +35,7 @@ def test_files_hold_whole_captures(spark, pages, tmp_path):
     W.write_warc(pages, str(tmp_path / "w"), min_bytes=1)
     kinds = []
     for p in Path(tmp_path / "w").glob("*.gz"):
-        kinds += [h["warc-type"] for h, _ in W.parse(gzip.decompress(p.read_bytes()))]
+        kinds += [h["warc-type"] for h, _ in W.parse(gzip.open(p))]
     assert sorted(kinds) == ["metadata"] * 8 + ["request"] * 8 + ["response"] * 6 + ["revisit"] * 2
     got = W.captures(W.read_warc(spark, str(tmp_path / "w"), payloads=True)).collect()
     assert {(r.page_id, r.url) for r in got} == {(r.page_id, r.url or "") for r in pages.collect()}
@@ -49,6 +50,22 @@ def test_no_pages(spark, pages, tmp_path):
     assert W.op10_warc(spark, str(tmp_path)).count() == 0
 
 
-def test_broken_records_are_errors():
-    with pytest.raises(ValueError):
-        list(W.parse(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"))
+def record(kind, block, extra="", size=None):
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{extra}Content-Length: {len(block) if size is None else size}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_broken_records_cost_no_others(spark, tmp_path):
+    body = b"x" * 200_000
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    good = record("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, f"WARC-Record-ID: <a>\r\nWARC-Payload-Digest: sha1:{digest}\r\n")
+    bad = record("response", b"HTTP/1.1 200 OK\r\n\r\nother", f"WARC-Record-ID: <b>\r\nWARC-Payload-Digest: sha1:{digest}\r\n")
+    meta = record("metadata", b"page-id: 7\r\npayload-length: x\r\n", "WARC-Concurrent-To: <a>\r\n")
+    data = b"junk\nno record" * 9000 + b"\n" + good + record("request", b"abc", size=5) + record("request", b"abc", size="x") + bad + meta + record("request", b"cut")[:-5]
+    kinds = [h["warc-type"] for h, _ in W.parse(io.BytesIO(data))]
+    assert kinds == ["broken", "response", "broken", "broken", "response", "metadata", "broken"]
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = W.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.type for r in got) == ["broken"] * 5 + ["metadata"] + ["response"] * 2
+    assert [(r.page_id, r.payload_bytes) for r in got if r.type == "metadata"] == [(7, None)]
