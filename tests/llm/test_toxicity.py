@@ -57,3 +57,55 @@ def test_without_labels(spark, tables):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in X.score(docs, X.train(docs, none)).collect()} == {0.0}
     assert X.drop_toxic(docs.limit(0), none).count() == 0
+
+
+def plain_kneser_ney(words, counts):
+    """Interpolated Kneser-Ney with dictionaries over strings: the log ratio of a word, toxic to ordinary."""
+    pad = lambda w: [(b"\x01" * 7 + w + b"\x02")[k : k + 8] for k in range(len(w) + 1)]
+    own, both = [{}, {}], {}
+    for w, pair in zip(words, counts):
+        for g in pad(w):
+            for k in (0, 1):
+                own[k][g] = own[k].get(g, 0) + pair[k]
+            both[g] = both.get(g, 0) + sum(pair)
+    levels = [both]
+    while len(next(iter(levels[-1]))) > 1:
+        lower = {}
+        for g in levels[-1]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        levels.append(lower)
+    levels = {len(next(iter(lv))): lv for lv in levels}
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        lv = levels[len(g)]
+        after = [n for x, n in lv.items() if x[:-1] == g[:-1]]
+        if not after:
+            return shared(g[1:])
+        return max(lv.get(g, 0) - 0.75, 0) / sum(after) + 0.75 * len(after) / sum(after) * shared(g[1:])
+
+    def p(g, k):
+        after = [n for x, n in own[k].items() if x[:-1] == g[:-1] and n > 0]
+        return max(own[k].get(g, 0) - 0.75, 0) / sum(after) + 0.75 * len(after) / sum(after) * shared(g) if after else shared(g)
+
+    return lambda w: sum(np.log(p(g, 1)) - np.log(p(g, 0)) for g in pad(w))
+
+
+def test_models_are_those_of_plain_kneser_ney():
+    rng = random.Random(1)
+    ws = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)})
+    counts = np.array([[rng.choice([0, 0, 1, 3, 9]), rng.choice([0, 0, 1, 4])] for _ in ws], dtype=float)
+    ws, counts = [w for w, c in zip(ws, counts) if c.sum()], counts[counts.sum(axis=1) > 0]
+    m, plain = X.KneserNey.fit(ws, counts), plain_kneser_ney(ws, counts)
+    new = [bytes(rng.choice(b"abcde") for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    assert m.words(ws + new) == pytest.approx([plain(w) for w in ws + new], abs=1e-4)
+
+
+def test_window_features_are_those_of_loops():
+    m = X.KneserNey.fit([b"aa", b"bb", b"cc"], np.array([[5.0, 0], [0, 5], [2, 2]]))
+    text = b"aa bb CC bb! aa-aa cc bb " * 5
+    one = {w: float(m.words([w])[0]) for w in (b"aa", b"bb", b"cc")}
+    x = [one[w] for w in X.words(text)]
+    want = [sum(x) / len(x), np.log(len(x))] + [max(sum(x[k : k + w]) / w for k in range(len(x) - w + 1)) for w in X.WINDOWS]
+    assert m.features([text, None], {})[0] == pytest.approx(want) and not m.features([text, None], {})[1].any()
