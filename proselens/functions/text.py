@@ -17,6 +17,21 @@ EXCERPT = 40
 SPANS = "array<struct<s:int,e:int>>"
 
 
+_KEPT: dict = {}
+
+
+def kept(name: str, lists, make: Callable):
+    """make(), built once a name and word lists: thousands of calls to the JVM go into the rules' expressions, and they hold no data."""
+    import json
+
+    from pyspark import SparkContext
+
+    key = (SparkContext._gateway, name, json.dumps(lists, sort_keys=True, ensure_ascii=False))
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def no_spans() -> Column:
     return F.expr(f"cast(array() as {SPANS})")
 

@@ -62,15 +62,20 @@ ANALYSED = ("ja", "ended", "polite", "plain", "nouns", "wago_nouns", "wago_verbs
 def sentence_analysis(sentences: DataFrame, *keep: str, also: dict[str, Column] | None = None) -> DataFrame:
     """What a sentence's text and tokens say, wherever it stands: ANALYSED, the columns of `keep`, and what `also` makes of its own columns."""
     also = also or {}
+    first, last = T.kept("analysis", None, _analysis)
+    return sentences.select(*keep, "text", "tokens", *first, *(c.alias(k) for k, c in also.items())).select(*keep, *last, *also)
+
+
+def _analysis() -> tuple[list[Column], list[Column]]:
+    """What is computed first, and from it ANALYSED."""
     tk, text = K.Tokens(F.col("tokens")), F.col("text")
-    first = sentences.select(*keep, "text", "tokens", T.is_terminated(text).alias("_ended"), is_polite(tk).alias("_polite"), final_predicate(tk).alias("_final"), T.ja_chars(text).alias("_ja"), *(c.alias(k) for k, c in also.items()))
+    first = [T.is_terminated(text).alias("_ended"), is_polite(tk).alias("_polite"), final_predicate(tk).alias("_final"), T.ja_chars(text).alias("_ja")]
     ended, polite, final = F.col("_ended"), F.col("_polite"), F.col("_final")
     wago_verb = lambda t: K.pos(t, "verb") & K.true(t["pos2"] == "一般") & K.true(t["goshu"] == "wago")
     noun = lambda t: K.pos(t, "noun") & K.true(t["pos2"] == "普通名詞")
     final_wago = ended & K.pos(tk.at(final), "verb") & K.true(tk.at(final)["goshu"] == "wago")
     final_sahen = ended & ~K.pos(tk.at(final), "verb") & is_sahen_verb(tk, final)
-    return first.select(
-        *keep,
+    return first, [
         F.col("_ja").alias("ja"),
         ended.cast("int").alias("ended"),
         (ended & polite).cast("int").alias("polite"),
@@ -84,8 +89,7 @@ def sentence_analysis(sentences: DataFrame, *keep: str, also: dict[str, Column]
         F.coalesce(final_sahen, F.lit(False)).cast("int").alias("final_sahen"),
         F.when(final_wago, tk.at(final)["lemma"]).alias("final_lemma"),
         common_phrases(tk).alias("phrases"),
-        *also,
-    )
+    ]
 
 
 def placed(rows: DataFrame) -> DataFrame:

@@ -203,11 +203,16 @@ def _finding(rule: str, text: Column) -> Callable:
 
 def sentence_findings(sentences: DataFrame, lists: Lists = LISTS, rules: tuple[str, ...] = SENTENCE_RULES, polite_gate: bool = True) -> DataFrame:
     """doc_id, sent_id, rule, span_ord, excerpt: a row a finding. R01 is gated by its document elsewhere (findings)."""
-    text, tk, parts = F.col("text"), K.Tokens(F.col("tokens")), []
-    for rule in rules:
-        made = RULES[rule](text, tk, lists, F.col("seg_text")) if rule == "F02" else RULES[rule](text, tk, lists)
-        parts.append(F.transform(T.disjoint(made), _finding(rule, text)))
-    return sentences.select("doc_id", "sent_id", F.explode(F.concat(*parts)).alias("f")).select("doc_id", "sent_id", "f.*")
+
+    def made() -> Column:
+        text, tk, parts = F.col("text"), K.Tokens(F.col("tokens")), []
+        for rule in rules:
+            spans = RULES[rule](text, tk, lists, F.col("seg_text")) if rule == "F02" else RULES[rule](text, tk, lists)
+            parts.append(F.transform(T.disjoint(spans), _finding(rule, text)))
+        return F.concat(*parts)
+
+    found = F.explode(T.kept("findings " + " ".join(rules), lists, made)).alias("f")
+    return sentences.select("doc_id", "sent_id", found).select("doc_id", "sent_id", "f.*")
 
 
 # --- document rules
@@ -238,7 +243,8 @@ def conjunction(text: Column, tk: K.Tokens, words: list[str]) -> Column:
 
 def leading_conjunctions(sentences: DataFrame, lists: Lists = LISTS) -> DataFrame:
     """S06"""
-    rows = sentences.withColumn("head", conjunction(F.col("text"), K.Tokens(F.col("tokens")), lists["S06"]["conjunctions"])).select("doc_id", "sent_id", "seg_id", "newline_before", "head")
+    head = T.kept("conjunction", lists["S06"], lambda: conjunction(F.col("text"), K.Tokens(F.col("tokens")), lists["S06"]["conjunctions"]))
+    rows = sentences.withColumn("head", head).select("doc_id", "sent_id", "seg_id", "newline_before", "head")
     ordered = F.array_sort(F.collect_list(F.struct("sent_id", "head")))
     found = runs(rows, F.col("head").isNotNull(), F.array_join(F.transform(ordered, lambda x: x["head"]), "、").alias("excerpt"))
     return found.select("doc_id", "sent_id", F.lit("S06").alias("rule"), "excerpt")

@@ -25,11 +25,14 @@ def _count(made: Column) -> Column:
 def analysed(sentences: DataFrame, *keep: str, lists: R.Lists = LISTS) -> DataFrame:
     """A sentence's analysis with the counts of the sentence rules and the flags of runs; it depends on text, seg_text and tokens alone, so
     that a table of different sentences can be analysed once and joined to the places where they stand."""
-    text, tk = F.col("text"), K.Tokens(F.col("tokens"))
-    counted = {f"n_{r}": _count(R.RULES[r](text, tk, lists, F.col("seg_text")) if r == "F02" else R.RULES[r](text, tk, lists)) for r in SENTENCE_RULES}
-    heads = R.conjunction(text, tk, lists["S06"]["conjunctions"]).isNotNull()
-    short = T.is_terminated(text) & (T.ja_chars(text) <= R.SHORT)
-    return M.sentence_analysis(sentences, *keep, also=counted | {"_S06": K.true(heads), "_D01": K.true(short)})
+    def made() -> dict[str, Column]:
+        text, tk = F.col("text"), K.Tokens(F.col("tokens"))
+        counted = {f"n_{r}": _count(R.RULES[r](text, tk, lists, F.col("seg_text")) if r == "F02" else R.RULES[r](text, tk, lists)) for r in SENTENCE_RULES}
+        heads = R.conjunction(text, tk, lists["S06"]["conjunctions"]).isNotNull()
+        short = T.is_terminated(text) & (T.ja_chars(text) <= R.SHORT)
+        return counted | {"_S06": K.true(heads), "_D01": K.true(short)}
+
+    return M.sentence_analysis(sentences, *keep, also=T.kept("counts", lists, made))
 
 
 def tallies(sentences: DataFrame, lists: R.Lists = LISTS, floor: int = FLOOR) -> DataFrame:

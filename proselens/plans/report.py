@@ -15,7 +15,7 @@ from proselens.operators import score as S
 from proselens.operators.lexicon import tokenize, with_tokens
 from proselens.operators.split import number, split_sentences
 from proselens.operators.tally import tallies
-from proselens.rulesdata import LAYERS, RULE_ORDER
+from proselens.rulesdata import HEADINGS, LAYERS, RULE_ORDER
 from proselens.settings import Settings
 from proselens.sources import files
 
@@ -141,7 +141,45 @@ def to_text(r: Report, summary: bool = False) -> str:
 
 
 def aligned(rows: list[list[str]]) -> str:
-    """Columns padded to their widest cell; characters beyond ASCII are two wide."""
+    """Columns padded to their widest cell, the first to the left, the others to the right; characters beyond ASCII are two wide."""
     width = lambda s: sum(1 if c.isascii() else 2 for c in s)
     widest = [max(map(width, column)) for column in zip(*rows)]
-    return "\n".join("  ".join(c + " " * (w - width(c)) for c, w in zip(row, widest)).rstrip() for row in rows)
+    pad = lambda k, c, w: c + " " * (w - width(c)) if k == 0 else " " * (w - width(c)) + c
+    return "\n".join("  ".join(pad(k, c, w) for k, (c, w) in enumerate(zip(row, widest))).rstrip() for row in rows)
+
+
+# The words of the printed forms.
+EMPTY, REFERENCE, BELOW = "集合が空", "参考", "下限未満"
+HEAD = ["集合", "側", "文字数", "文数", "点"]
+MET, UNMET = "受け入れ基準を満たす", "受け入れ基準を満たさない"
+
+
+def bench_text(scores: DataFrame, met: bool) -> str:
+    """The sets' points, their rates by rule, and the judgment."""
+    rows, points, rates, notes = scores.orderBy("set_ord").collect(), [[*HEAD, *LAYERS.values()]], [["集合", *RULE_ORDER]], []  # a manifest's sets
+    for r in rows:
+        own = [r["set_name"], r["side"], str(r["ja_chars"]), str(r["sentences"])]
+        if r["mode"] == "normalized":
+            points.append([*own, f"{r['per_1000']:.2f}", *(f"{(r['by_layer'] or {}).get(n, 0.0):.2f}" for n in LAYERS.values())])
+        else:
+            points.append([*own, EMPTY if r["verdict"] == "empty" else BELOW, *("-" for _ in LAYERS)])
+        found = r["by_rule"] or {}
+        rates.append([r["set_name"], *(f"{found.get(k, 0) * 1000 / r['ja_chars'] if r['ja_chars'] else 0.0:.1f}" for k in RULE_ORDER)])
+    notes = [f"  {r['set_name']}  {r['side']}  {r['per_1000']:.2f} 点" for r in rows if r["verdict"] == "violated"]
+    for r in rows:
+        if r["verdict"] == "empty":
+            notes.append(f"  {EMPTY}  {r['set_name']}")
+        elif r["verdict"] == "reference":
+            notes.append(f"  {REFERENCE}  {r['set_name']}  {r['side']}" + (f"  {r['per_1000']:.2f} 点" if r["per_1000"] is not None else ""))
+    return "\n".join([aligned(points), "", aligned(rates), "", MET if met else UNMET, *notes])
+
+
+def rules_text(settings: Settings | None = None) -> str:
+    """A line a rule: id, layer, weight, heading."""
+    weights = (settings or Settings()).weights
+    return "\n".join(f"{r}  {LAYERS[r[0]]}  {weights[r]:.2f}  {HEADINGS[r]}" for r in RULE_ORDER)
+
+
+def of_segments(segments: DataFrame, settings: Settings | None = None) -> Report:
+    """The report over segments that are there already: messages and diffs."""
+    return report(segments, segments.select("doc_id", F.col("path").alias("name")).distinct(), settings)

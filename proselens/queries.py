@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.functions import text as T
@@ -14,8 +14,8 @@ from proselens.operators import score as S
 from proselens.operators.split import bold_spans, split_sentences
 from proselens.operators.tally import analysed, tallied
 from proselens.plans import bank as B
-from proselens.rulesdata import LAYERS, LISTS, RULE_ORDER, SENTENCE_RULES, WEIGHTS
-from proselens.sources import diffs, messages
+from proselens.rulesdata import HEADINGS, LAYERS, LISTS, RULE_ORDER, SENTENCE_RULES, WEIGHTS
+from proselens.sources import diffs, files, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -472,3 +472,86 @@ def message_segments(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     text = F.concat(F.lit("日"), "role", F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n署名\nSigned-off-by: "), "role")
     return messages.message_segments(turns.select("conv_id", "turn", text.alias("message")), ["conv_id", "turn"]).select("conv_id", "turn", "kind", "line_start", "line_end")
+
+
+# --- extraction: texts composed with each document's id, and the segments that the formats' rules give
+
+MARKDOWN = (
+    "# 題{}\n\n本文{}を測る。\n続き。\n\n- 項{}\n  - 子だ。\n\n> 引用だ。\n> 二行だ。\n\n| 場所 | 深さ |\n|---|---|\n| **岸** | 沖 → 浜 |\n\n"
+    "```py\n記号。\n```\n\n<div>枠だ。</div>\n\n前に `符号` と後。\n\n![絵](x.png)\n"
+)
+MARKDOWN_SEGMENTS = [
+    ("prose", "題{}", 1, 1), ("prose", "本文{}を測る。\n続き。", 3, 4), ("prose", "項{}", 6, 6), ("prose", "子だ。", 7, 7), ("prose", "引用だ。\n  二行だ。", 9, 10),
+    ("table_cell", "場所", 12, 12), ("table_cell", "深さ", 12, 12), ("table_cell", "  岸  ", 14, 14), ("table_cell", "沖     浜", 14, 14), ("prose", "前に          と後。", 22, 22),
+]
+SOURCES = {
+    "rs": ('//! 箱{}の説明。\n\n/// 蓋の説明は\n/// 二行だ。\n// 釘{}の注記。\nfn f() {{\n  let s = "値\\n{}だ。";\n}}\n#[cfg(test)]\nmod t {{\n  // 試験の注記。\n}}\n', [("doc_comment", "箱{}の説明。", 1, 1), ("doc_comment", "蓋の説明は二行だ。", 3, 4), ("comment", "釘{}の注記。", 5, 5), ("string_literal", "値\n{}だ。", 7, 7)]),
+    "py": ('"""箱{}の説明。"""\n# 釘{}の注記。\n# 続きだ。\ns = f"値{{x}}だ。"\n', [("doc_comment", "箱{}の説明。", 1, 1), ("comment", "釘{}の注記。続きだ。", 2, 3), ("string_literal", "値   だ。", 4, 4)]),
+    "ts": ("/** 箱{}の説明。 */\n// 釘{}の注記。\nconst t = `値${{x}}だ。`;\n", [("doc_comment", "箱{}の説明。", 1, 1), ("comment", "釘{}の注記。", 2, 2), ("string_literal", "値    だ。", 3, 3)]),
+    "go": ('// 釘{}の注記。\nvar s = "値\\u3042{}だ。"\nvar r = `生\\n{}だ。`\n', [("comment", "釘{}の注記。", 1, 1), ("string_literal", "値あ{}だ。", 2, 2), ("string_literal", "生\\n{}だ。", 3, 3)]),
+}
+ID = "{}"
+
+
+def _filled(template: str) -> Column:
+    """The template with the document's id at each {}."""
+    parts = template.replace("{{", "\x01").replace("}}", "\x02").split(ID)
+    parts = [p.replace("\x01", "{").replace("\x02", "}") for p in parts]
+    out = [F.lit(parts[0])]
+    for p in parts[1:]:
+        out += [F.col("doc_id").cast("string"), F.lit(p)]
+    return F.concat(*out)
+
+
+def _segment_sql(rows, where: str = "TRUE") -> str:
+    values = _values((k, kind, text.replace("\n", "\x01"), a, b) for k, (kind, text, a, b) in enumerate(rows))
+    return f"SELECT doc_id, CAST(seg_id AS INTEGER) AS seg_id, kind, replace(replace(t, '{ID}', CAST(doc_id AS VARCHAR)), chr(1), chr(10)) AS text, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end FROM documents, (VALUES {values}) v(seg_id, kind, t, a, b) WHERE {where}"
+
+
+def _composed(spark, sf, name: Column, kind: Column, text: Column) -> DataFrame:
+    return files.extract_documents(_documents(spark, sf).select("doc_id", name.alias("name"), kind.alias("format"), text.alias("text")))
+
+
+SEGMENT_COLUMNS = ("doc_id", "seg_id", "kind", "text", "line_start", "line_end")
+
+
+@query("markdown_segments", _segment_sql(MARKDOWN_SEGMENTS))
+def markdown_segments(spark, sf):
+    return _composed(spark, sf, F.lit("a.md"), F.lit("markdown"), _filled(MARKDOWN)).select(*SEGMENT_COLUMNS)
+
+
+@query("source_segments", " UNION ALL ".join(_segment_sql(rows, f"doc_id % 4 = {k}") for k, (_, rows) in enumerate(SOURCES.values())))
+def source_segments(spark, sf):
+    """Documents as files of four languages."""
+    kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (name, (template, _)) in enumerate(SOURCES.items()):
+        kind = F.when(F.col("doc_id") % 4 == k, files.format_of(f"x.{name}")).otherwise(kind)
+        text = F.when(F.col("doc_id") % 4 == k, _filled(template)).otherwise(text)
+    return _composed(spark, sf, F.lit("x"), kind, text).select(*SEGMENT_COLUMNS)
+
+
+@query("plain_text_documents", "SELECT doc_id, 0 AS seg_id, 'prose' AS kind, text || chr(10) || '川だ。' AS text, 1 AS line_start, CAST(len(text) - len(replace(text, chr(10), '')) + 2 AS INTEGER) AS line_end FROM documents WHERE text IS NOT NULL")
+def plain_text_documents(spark, sf):
+    """The table's own texts as plain files, each with a Japanese line at its end."""
+    docs = _documents(spark, sf).select("doc_id", F.lit("a.txt").alias("name"), F.lit("text").alias("format"), F.concat("text", F.lit("\n川だ。")).alias("text"))
+    return files.extract_documents(docs).select(*SEGMENT_COLUMNS)
+
+
+@query(
+    "diff_segments",
+    f"SELECT doc_id, seg_id, kind, text, line_start, line_end, 'rev' AS \"commit\" FROM ({_segment_sql(MARKDOWN_SEGMENTS)}) WHERE doc_id % 4 > 0 AND line_start <= doc_id % 9 + doc_id % 4 AND line_end >= doc_id % 9 + 1",
+)
+def diff_segments(spark, sf):
+    """A diff a document, that adds up to three lines of a Markdown file: the segments that it touches."""
+    docs = _documents(spark, sf)
+    place = F.format_string("f%d.md", "doc_id")
+    header = F.concat(F.lit("diff --git a/f b/f\n--- a/f\n+++ b/"), place, F.lit("\n@@ -1 +"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(","), (F.col("doc_id") % 4).cast("string"), F.lit(" @@\n+x\n"))
+    added = diffs.changes(docs.select("doc_id", header.alias("diff")), ["doc_id"])
+    segments = _composed(spark, sf, place, F.lit("markdown"), _filled(MARKDOWN))
+    return diffs.change_segments(segments, added.select("path", "start", "end"), "rev").select(*SEGMENT_COLUMNS, "commit")
+
+
+@query("rule_list", f"SELECT rule, layer, CAST(weight AS DOUBLE) AS weight, heading FROM (VALUES {_values((r, LAYERS[r[0]], float(WEIGHTS[r]), HEADINGS[r]) for r in RULE_ORDER)}) v(rule, layer, weight, heading)")
+def rule_list(spark, sf):
+    headings = spark.createDataFrame(list(HEADINGS.items()), "rule string, heading string")
+    return S.rule_table(spark).join(headings, "rule").select("rule", "layer", "weight", "heading")

@@ -17,6 +17,30 @@ SENTENCE_RULES = tuple(r for r in WEIGHTS if r not in DOCUMENT_RULES)
 #: Document rules of these layers are left out below the floor.
 GATED_LAYERS = ("D", "R", "G")
 
+# Each rule's heading in the rule book.
+HEADINGS = {
+    "S01": "文書・型・テストを語り手にしない",
+    "S02": "文頭の指示代名詞",
+    "S03": "説明の足場語",
+    "S04": "技術文の「私」",
+    "S05": "「ではなく」の対句",
+    "S06": "文頭の接続詞の連打",
+    "L01": "慣習語の和語化",
+    "L02": "辞書の第一義と逐語訳",
+    "L03": "英語のリズムの直写",
+    "D01": "短文の連打",
+    "D02": "述語を持たない短い断片文",
+    "D03": "人間の文に普通の表現の欠如",
+    "R01": "敬体の文書に混じる口語",
+    "R02": "身体的な比喩",
+    "R03": "敬体と常体の混在",
+    "F01": "冒頭の太字の結論",
+    "F02": "本文の太字",
+    "F03": "2 倍ダッシュと矢印",
+    "F04": "空虚な強調",
+    "G01": "文末の述語の和語率",
+}
+
 THRESHOLD = 10.0
 FLOOR = 300
 

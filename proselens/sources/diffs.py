@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proselens.functions.text import touches
+from proselens.functions.text import has_japanese, touches
 
 #: Lines of a bucket of the interval join.
 BUCKET = 64
@@ -69,3 +69,11 @@ def changes(diff: DataFrame, key: list[str], text_col: str = "diff") -> DataFram
     whole = Window.partitionBy(*key, "_file")
     found = ranges.withColumn("path", F.first("path", ignorenulls=True).over(whole)).filter("r is not null and path is not null")
     return found.select(*key, "path", "r.start", "r.end")
+
+
+def change_segments(segments: DataFrame, added: DataFrame, commit: str | None = None) -> DataFrame:
+    """Of the segments (doc_id, path, .., text, line_start, line_end) of changed files those that share a line with a range their diff adds
+    (path, start, end), stamped with the commit; files none of whose touched segments holds Japanese go."""
+    met = touched(segments, added.select("path", "start", "end"), ["path"])
+    japanese = met.filter(has_japanese(F.col("text"))).select("doc_id").distinct()
+    return met.join(japanese, "doc_id", "left_semi").withColumn("commit", F.lit(commit).cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import tomllib
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proselens.functions import text as T
 from proselens.shipping import ship
-from proselens.sources import markdown, source_code
+from proselens.sources import diffs, markdown, source_code
 
 SKIPPED = {"target", "node_modules", ".git"}
 SEGMENT = "seg_id int, kind string, text string, line_start int, line_end int"
@@ -88,27 +89,23 @@ def read_files(spark: SparkSession, paths: list[str], settings=None) -> tuple[Da
                 if p == named:
                     warned.append((p, "unsupported"))
                 continue
-            listed.append((len(listed), p.replace(os.sep, "/"), format_of(p), p))
+            listed.append((len(listed), p.replace(os.sep, "/"), format_of(p), os.path.abspath(p)))
     rows = spark.createDataFrame(listed, "doc_id long, name string, format string, _path string")
+    if not listed:
+        docs = rows.select("doc_id", "name", "format", F.lit("").alias("text"))
+        return docs, spark.createDataFrame(warned, "path string, reason string")
+    # the bytes come through Spark's reader, whose paths every executor can open
+    content = spark.read.format("binaryFile").load([_local(p) for *_, p in listed])
+    found = content.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("content").cast("string").alias("text"))
+    read = rows.join(found, "_path")
+    docs = read.filter(F.is_valid_utf8("text")).select("doc_id", "name", "format", "text")
+    bad = read.filter(~F.is_valid_utf8("text")).select(F.col("name").alias("path"), F.lit("not utf-8").alias("reason"))
+    return docs, spark.createDataFrame(warned, "path string, reason string").unionByName(bad)
 
-    @F.pandas_udf("struct<text:string,bad:boolean>")
-    def content(ps):
-        import pandas as pd
 
-        out = []
-        for p in ps:
-            with open(p, "rb") as f:
-                data = f.read()
-            try:
-                out.append((data.decode("utf-8"), False))
-            except UnicodeDecodeError:
-                out.append((None, True))
-        return pd.DataFrame(out, columns=["text", "bad"])
-
-    read = rows.withColumn("_c", content("_path"))
-    docs = read.filter("not _c.bad").select("doc_id", "name", "format", "_c.text")
-    bad = read.filter("_c.bad").select(F.col("name").alias("path"), F.lit("not utf-8").alias("reason"))
-    return docs, spark.createDataFrame(warned, "path string, reason string").unionByName(bad)
+def _local(path: str) -> str:
+    """A path for Spark's reader, which takes these for patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", os.path.abspath(path))
 
 
 def one_document(spark: SparkSession, text: str, name: str = "<stdin>", kind: str = "text") -> DataFrame:
@@ -152,6 +149,69 @@ def blob(rev: str, path: str, cwd: str = ".") -> str | None:
         return None
 
 
+def toplevel(cwd: str = ".") -> str:
+    return git("rev-parse", "--show-toplevel", cwd=cwd).decode().strip()
+
+
+def diff_documents(spark: SparkSession, spec: str | None = None, settings=None, cwd: str = ".") -> tuple[DataFrame, DataFrame]:
+    """Segments of what the index (no spec) or a range adds, and warnings (path, reason). The files come from the index or the
+    range's right-hand revision, never from the work tree; excluded ones are left out by their path below the repository's root."""
+    text, rev = diff(spec, cwd)
+    added = diffs.changes(spark.createDataFrame([(0, text)], "diff_id int, diff string"), ["diff_id"]).select("path", "start", "end")
+    top, rows, warned = toplevel(cwd), [], []
+    for r in added.select("path").distinct().orderBy("path").toLocalIterator():  # the paths that git has named
+        if format_of(r.path) is None or settings is not None and settings.excludes(os.path.join(top, r.path)):
+            continue
+        try:
+            content = blob(rev, r.path, cwd)
+        except RuntimeError as e:
+            warned.append((r.path, str(e)))
+            continue
+        if content is None:
+            warned.append((r.path, "not utf-8"))
+        else:
+            rows.append((len(rows), r.path, format_of(r.path), content))
+    docs = spark.createDataFrame(rows, "doc_id long, name string, format string, text string")
+    return diffs.change_segments(extract_documents(docs), added, rev or None), spark.createDataFrame(warned, "path string, reason string")
+
+
+def hook_path(cwd: str = ".") -> str:
+    return os.path.join(os.path.abspath(cwd), git("rev-parse", "--git-path", "hooks", cwd=cwd).decode().strip(), "commit-msg")
+
+
+HOOK_MARK = "# proselens hook"
+
+
+def _hook(path: str) -> str | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def install_hook(force: bool = False, cwd: str = ".") -> tuple[str, bool]:
+    """The hook's path, and whether it was written: one that others have made stays unless forced."""
+    path = hook_path(cwd)
+    found = _hook(path)
+    if found is not None and HOOK_MARK not in found and not force:
+        return path, False
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'#!/bin/sh\n{HOOK_MARK}\nexec python -m proselens hook commit-msg "$@"\n')
+    os.chmod(path, 0o755)
+    return path, True
+
+
+def uninstall_hook(cwd: str = ".") -> str | None:
+    """The removed hook's path, if it was one of ours."""
+    path = hook_path(cwd)
+    if HOOK_MARK not in (_hook(path) or ""):
+        return None
+    os.remove(path)
+    return path
+
+
 # --- manifests
 
 

@@ -55,3 +55,18 @@ def message_segments(rows: DataFrame, key: list[str], message_col: str = "messag
 def commit_name(hash_col: str = "hash", subject_col: str = "subject"):
     """Seven characters of the hash and twenty of the subject."""
     return F.concat_ws(" ", F.left(hash_col, F.lit(7)), F.expr(f"nullif(left({subject_col}, 20), '')"))
+
+
+#: Fixed value: the name of the document that a draft message is.
+DRAFT = "<commit-msg>"
+
+
+def message_document(spark, message: str) -> DataFrame:
+    """A draft message's segments as one document; none if it holds no Japanese."""
+    rows = spark.createDataFrame([(0, DRAFT, message)], "doc_id long, path string, message string")
+    return message_segments(rows.filter(T.has_japanese(F.col("message"))), ["doc_id", "path"]).select("doc_id", "path", "seg_id", "kind", "text", "line_start", "line_end").withColumn("commit", F.lit(None).cast("string"))
+
+
+def with_draft(draft: DataFrame, changed: DataFrame) -> DataFrame:
+    """What a commit-msg hook looks at: the draft first, then the documents of the staged diff."""
+    return draft.unionByName(changed.withColumn("doc_id", F.col("doc_id") + 1).select(draft.columns))
