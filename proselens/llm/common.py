@@ -51,10 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the application's own part of the shared folder, which is deleted when the driver's JVM ends."""
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/proselens/{context.applicationId}")
+    system = top.getFileSystem(context._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        system.mkdirs(top)
+        system.deleteOnExit(top)
+    return f"{top.toString()}/{label}-{uuid.uuid4().hex}"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proselens/{label}-{uuid.uuid4().hex}"
+    path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,12 +17,11 @@ from __future__ import annotations
 import gzip
 import io
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.llm.common import arrow_batches, shared_dir, skewed_join, stash, table
+from proselens.llm.common import arrow_batches, skewed_join, stash, table, work_path
 
 #: Bytes and records that a file is meant to hold; a reader takes one file at a time, compressed, and one record of it.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 6000
@@ -236,7 +235,7 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir):
-    path = f"{shared_dir(spark)}/proselens/warc-{uuid.uuid4().hex}"
+    path = work_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     found = captures(stash(read_warc(spark, path).drop("payload").withColumn("payload", F.lit(None).cast("binary")), "records"))
     return found.select(
