@@ -9,7 +9,8 @@ pages composed by `layouts` from many page plans; the training set is of a fixed
 
 Defined results: null, empty and text-less pages give the empty string; any input parses; scripts, styles,
 templates, comments, controls and embedded objects never have text; white space is one space, blocks
-are joined by one space; nothing is cut off. Repeated rows repeat; other columns are ignored.
+are joined by one space; nothing is cut off, whatever the length; where keeping and dropping a block are equally likely it stays. Repeated rows repeat;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ The threshold is found by counting keys in ever finer bins, so no task sees more
 
 Defined results: null and empty texts have no n-gram and weight 0; a null id has the draw of a
 null; keys that tie are ordered by id (null first), and rows that tie in both are kept or left together with the first; no good label: all
-weights are 0 and the sample is uniform; an empty table gives no rows.
+weights are 0 and the sample is uniform; ids are whole numbers; repeated rows have equal keys; texts of any length are read whole; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
