@@ -88,7 +88,6 @@ def test_bench(spark, tmp_path):
     assert lines[0].split()[:5] == ["集合", "側", "文字数", "文数", "点"] and lines[1].split()[:4] == ["h", "human", "360", "60"]
     notes = lines[lines.index("受け入れ基準を満たさない") + 1 :]
     assert [x.split()[0] for x in notes] == ["h", "参考", "集合が空"] and notes[2] == "  集合が空  e"
-    assert C.run(["bench", str(tmp_path / "m.toml"), "--json"], spark, said.append) == 1 and not json.loads(said[1])["met"]
     with pytest.raises(ValueError):
         C.run(["bench", str(tmp_path / "m.toml"), "--summary"], spark)
 
