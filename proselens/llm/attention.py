@@ -81,33 +81,51 @@ class Attention:
 
     def gradients(self, ids: np.ndarray, valid: np.ndarray, like: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log probability of what follows the valid positions. ids: (windows, LENGTH), len(e) for none;
-        valid: (windows, SPAN); like: (windows, SPAN, EXPERTS), the probability of what follows by each expert."""
-        here = ids < len(self.e)
-        ids = np.where(here, ids, 0)
-        x = self.e[ids]
-        xq = x[:, SPAN:]
-        root = np.sqrt(np.float32(KEY))
-        q, k, v = xq @ self.wq / root, x @ self.wk, x @ self.wv
-        s = np.matmul(q, k.transpose(0, 2, 1)) + np.where(SEEN, self.bias[GAP], np.float32(-1e9)) + np.where(here, 0, np.float32(-1e9))[:, None, :]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        a = s / s.sum(axis=2, keepdims=True)
-        o = np.matmul(a, v)
-        z = xq @ self.w1 + o @ self.w2 + self.c
-        g = np.exp(z - z.max(axis=2, keepdims=True))
-        g /= g.sum(axis=2, keepdims=True)
-        r = g * like
-        r /= np.maximum(r.sum(axis=2, keepdims=True), 1e-35)
-        dz = (g - r) * (valid / max(1.0, float(valid.sum())))[..., None]
+        valid: (windows, SPAN); like: (windows, SPAN, EXPERTS), the probability of what follows by each expert. `given` then
+        holds what the model gave to what follows, (windows, SPAN)."""
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        do = dz @ self.w2.T
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = np.matmul(ds, k) / root, np.matmul(ds.transpose(0, 2, 1), q)
-        dx = dk @ self.wk.T + dv @ self.wv.T
-        dx[:, SPAN:] += dz @ self.w1.T + dq @ self.wq.T
-        de = np.stack([np.bincount(ids.ravel(), weights=(flat(dx)[:, j] * here.ravel()), minlength=len(self.e)) for j in range(WIDTH)], axis=1)
+        tq, tk, tv, tz = self.tables()
+        own = np.ascontiguousarray(ids[:, SPAN:])
+        q, k, v = tq.take(own, axis=0), tk.take(ids, axis=0), tv.take(ids, axis=0)
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s += np.where(SEEN, self.bias[GAP], np.float32(-1e5))
+        np.exp(np.minimum(s, np.float32(60), out=s), out=s)
+        o = flat(np.matmul(s, v))
+        norm = o[:, -1:].copy()
+        o /= norm  # the last column is one
+        zero = lambda w: np.concatenate((w, np.zeros((1, w.shape[1]), w.dtype)))
+        g = tz.take(own.ravel(), axis=0) + o @ zero(self.w2)
+        np.exp(np.minimum(g, np.float32(60), out=g), out=g)
+        g /= g.sum(axis=1, keepdims=True)
+        r = g * flat(like)
+        given = r.sum(axis=1, keepdims=True)
+        self.given = given.reshape(valid.shape)
+        r /= np.maximum(given, 1e-35)
+        g -= r
+        dz = g * (valid.reshape(-1, 1) / max(1.0, float(valid.sum()))).astype(g.dtype)
+        do = dz @ zero(self.w2).T
+        do[:, -1] = -np.einsum("ij,ij->i", do[:, :-1], o[:, :-1])
+        do /= norm
+        do = do.reshape(*own.shape, -1)
+        ds = np.matmul(do, v.transpose(0, 2, 1))
+        dv = flat(np.matmul(s.transpose(0, 2, 1), do))
+        ds *= s
+        dq, dk = flat(np.matmul(ds, k)), flat(np.matmul(ds.transpose(0, 2, 1), q))
+
+        def summed(at, *grads):  # by row
+            order = np.argsort(at.astype(np.uint16), kind="stable")
+            row = at[order]
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            for x in grads:
+                out = np.zeros((len(self.e) + 1, x.shape[1]), dtype=x.dtype)
+                out[row[first]] = np.add.reduceat(x.take(order, axis=0), first, axis=0)
+                yield out[:-1]
+
+        live = valid.ravel()
+        dq, dzs = summed(own.ravel()[live], dq[live], dz[live]) if live.any() else (tq[:-1] * 0, tz[:-1] * 0)
+        dk, dv = summed(ids.ravel(), dk, dv)
+        dq, dk, dv = dq[:, :-1] / np.sqrt(np.float32(KEY)), dk[:, :-1], dv[:, :-1]
         return {
-            "e": de, "wq": flat(xq).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv),
-            "bias": np.bincount(GAP[SEEN], weights=ds.sum(axis=0)[SEEN], minlength=LENGTH), "w1": flat(xq).T @ flat(dz), "w2": flat(o).T @ flat(dz), "c": flat(dz).sum(axis=0),
+            "e": dq @ self.wq.T + dk @ self.wk.T + dv @ self.wv.T + dzs @ self.w1.T, "wq": self.e.T @ dq, "wk": self.e.T @ dk, "wv": self.e.T @ dv,
+            "bias": np.bincount(GAP[SEEN], weights=ds.sum(axis=0)[SEEN], minlength=LENGTH), "w1": self.e.T @ dzs, "w2": o[:, :-1].T @ dz, "c": dz.sum(axis=0),
         }

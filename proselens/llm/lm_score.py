@@ -3,18 +3,22 @@
 The attention reads the pieces so far and weighs EXPERTS word distributions; what a word is given by an expert, and what the two words
 before it say, are counts of all training texts:
 
-1. The first experts are a mixture of unigrams over pieces, fitted on the driver by a bounded sample (FIT_TEXTS passages).
-2. One pass cuts all texts into units of about UNIT bytes, each with its own numbered words, and gives each training text to its expert.
+1. One pass cuts all texts into units of about UNIT bytes, each with its own numbered words and their pieces, and counts the training texts' pieces.
+2. The experts are a mixture of unigrams over pieces. A bounded sample (FIT_TEXTS passages) seeds it; its shares and priors are those of
+   TURNS passes of EM over all training texts. Each training text goes to its expert.
 3. Units send their different words and their different three-word sequences, each once with its count, to shards by hash. Shards add
    up the training counts, answer every unit, and count classes, unseen words and spellings. What moves and is kept grows with the input;
    a sequence that a third of all texts hold arrives as one row entry a unit.
-4. The attention and the trust in repeated sequences are fitted on the driver by the sample of step 1, as counted without itself.
-5. Each unit meets its answers and is scored: p = trust * repeated + (1 - trust) * sum of expert weights and expert probabilities.
+4. The attention starts from a fit to the sample of step 2. Units meet their answers, and every task goes on from that start over all
+   training texts in it, each word as counted without itself; the tasks' parameters are averaged by what they have read, a piece's row by how often
+   the piece was read. The trust in repeated sequences is fitted by EM over the ratios that all training words had on the way.
+5. Each unit, with its answers, is scored: p = trust * repeated + (1 - trust) * sum of expert weights and expert probabilities.
 
 An expert gives frequent words their own smoothed share, rarer ones the share of the expert they stand in most, times
 their share of that class, and leaves a share for unseen words, spelled by a byte trigram model with an end; so the probabilities of all
 words add up to one. A sequence's shard key has 40 bits of its context besides the shard's number and 24 bits of the next word; words have
-64 bits besides. Contexts of two of the sample's COMMON most frequent words are left to the attention.
+64 bits besides. Contexts of two of the COMMON most frequent words are left to the attention: of the words that are among a unit's
+COMMON most frequent, those with the most occurrences in all training texts.
 
 Defined results: null and empty texts are one end; a null id has the remainder of the empty text; repeated rows are scored alike
 each time and count each time; texts of any length are read whole, in parts of PART bytes that see the HISTORY words before; with no training
@@ -23,6 +27,7 @@ text the base is that of N = V = 0; ids may be of any type; other columns are ig
 
 from __future__ import annotations
 
+import copy
 from itertools import chain as chained
 from itertools import islice
 
@@ -36,10 +41,13 @@ from proselens.llm.slots import Numbers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
-#: The sample that fits the weights: passages of FIT_CHARS characters, each from a hashed place of one of FIT_TEXTS training texts.
+#: The sample that starts the fits: passages of FIT_CHARS characters, each from a hashed place of one of FIT_TEXTS training texts.
 FIT_TEXTS, FIT_CHARS = 4000, 600
-#: Passes over the sample, windows of a batch.
+#: Passes over the sample, windows of a batch; passes of EM over all training texts, windows of a batch there, rate of learning.
 PASSES, BATCH = 4, 64
+TURNS, MANY, RATE = 3, 1024, 0.004
+#: Ratios of a repeated sequence's share to the experts' are told apart by so many steps a unit of their logarithm, up to MOST.
+STEPS, MOST = 16, 20
 #: Rows of the embedding: pieces by frequency, one for all others, one for a text's beginning.
 ROWS = 4096
 RARE, BEGIN = ROWS - 2, ROWS - 1
@@ -189,6 +197,22 @@ class Unit:
         part = np.repeat(np.arange(len(self.size)), self.size)
         return part, np.arange(len(self.kind)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
 
+    def likely(self, share: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """(parts, experts): the log of prior and shares of a part's pieces."""
+        fit = np.ascontiguousarray(np.add.reduceat(share[:, self.rows], np.cumsum(self.n) - self.n, axis=1).T)
+        return np.add.reduceat(fit[self.kind], np.cumsum(self.size) - self.size, axis=0) + np.log(prior)
+
+    def deal(self, row: np.ndarray, share: np.ndarray, prior: np.ndarray) -> Unit:
+        """From piece ids to rows; each part goes to the expert that gives it the most."""
+        self.rows = row[self.rows].astype(np.int64)
+        self.expert = self.likely(share, prior).argmax(axis=1)
+        return self
+
+    def taught(self) -> np.ndarray:
+        """Whether a word is a training text's and counted here."""
+        part, at = self.places()
+        return (at >= self.hist[part]) & (self.train[part] > 0)
+
     def triples(self, hashes: np.ndarray, common: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the words that have a stored context: place, shard and key; and whether a word is scored here."""
         part, at = self.places()
@@ -204,14 +228,21 @@ class Unit:
         return i, shard.astype(np.int64), (ctx << np.uint64(24)) | (mix(h[i]) >> np.uint64(40)), own
 
 
-def experts(sample: list[list[bytes]], model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The row of each piece, and the log shares (experts, rows) and priors of a mixture of unigrams, fitted by EM from spread-out passages."""
+def by_frequency(n: np.ndarray) -> np.ndarray:
+    """The row of each piece: the most frequent have their own."""
+    row = np.full(len(n), RARE, dtype=np.uint16)
+    row[np.argsort(-n, kind="stable")[:RARE]] = np.arange(min(RARE, len(n)))
+    return row
+
+
+def experts(sample: list[list[bytes]], model: str, row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each piece, and the log shares (experts, rows) and priors of a mixture of unigrams, fitted by EM from spread-out passages.
+    row: that of each piece, else by the sample."""
     size = encoder(model).get_piece_size()
     ids, n = pieces([w for d in sample for w in d], model)
     of = np.repeat(np.repeat(np.arange(len(sample)), [len(d) for d in sample]), n)
-    by = np.argsort(-np.bincount(ids, minlength=size), kind="stable")
-    row = np.full(size, RARE, dtype=np.uint16)
-    row[by[:RARE]] = np.arange(min(RARE, size))
+    if row is None:
+        row = by_frequency(np.bincount(ids, minlength=size))
     x = np.bincount(of * ROWS + row[ids], minlength=len(sample) * ROWS).reshape(len(sample), ROWS).astype(np.float32)
     total = x.sum(axis=0) + 0.1
     prior, share = np.full(EXPERTS, 1 / EXPERTS), np.tile(np.log(total / total.sum()), (EXPERTS, 1)).astype(np.float32)
@@ -237,19 +268,24 @@ def experts(sample: list[list[bytes]], model: str) -> tuple[np.ndarray, np.ndarr
 UNIT_COLUMNS = ["names", *Unit.FIELDS]
 
 
-def build(seen: Words, share: np.ndarray, prior: np.ndarray, texts: list[list[bytes]], hist: list[int], train: list[bool]) -> Unit:
-    """A unit of parts; each part goes to the expert that gives it the most."""
+def build(seen: Words, share: np.ndarray | None, prior: np.ndarray | None, texts: list[list[bytes]], hist: list[int], train: list[bool]) -> Unit:
+    """A unit of parts; each part goes to the expert that gives it the most, without shares to none yet."""
     kind = seen.kinds(texts)
-    used, kind = np.unique(kind, return_inverse=True)
-    size, n = np.array([len(t) for t in texts], dtype=np.int64), seen.n[used]
+    here = np.zeros(len(seen.n), dtype=np.int64)
+    here[kind] = 1
+    used = np.flatnonzero(here)
+    here[used] = np.arange(len(used))
+    kind, size, n = here[kind], np.array([len(t) for t in texts], dtype=np.int64), seen.n[used]
     rows = seen.rows[ragged(seen.begin[used], n)]
-    fit = np.add.reduceat(share[:, rows], np.cumsum(n) - n, axis=1).T[kind]
-    best = (np.add.reduceat(fit, np.cumsum(size) - size) + np.log(prior)).argmax(axis=1)
-    return Unit([seen.names[k] for k in used.tolist()], kind=kind, size=size, hist=np.array(hist), train=np.array(train, dtype=np.int64), expert=best, rows=rows, n=n)
+    u = Unit([seen.names[k] for k in used.tolist()], kind=kind, size=size, hist=np.array(hist), train=np.array(train, dtype=np.int64), expert=np.zeros(len(size), np.int64), rows=rows, n=n)
+    if share is not None:
+        u.expert = u.likely(share, prior).argmax(axis=1)
+    return u
 
 
-def units(rows: DataFrame, row: np.ndarray, share: np.ndarray, prior: np.ndarray, model: str) -> DataFrame:
-    """rows: no, _id, _train, _text. One row a unit: unit, the parts' numbers and ids, tokens and texts it teaches, bytes, and the unit's arrays."""
+def units(rows: DataFrame, row: np.ndarray, share: np.ndarray | None, prior: np.ndarray | None, model: str) -> DataFrame:
+    """rows: no, _id, _train, _text. One row a unit: unit, the parts' numbers and ids, tokens and texts it teaches, bytes, how often it
+    teaches each piece's row, the COMMON words it teaches most often, and the unit's arrays."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(rows.schema["_id"].dataType)
@@ -266,10 +302,12 @@ def units(rows: DataFrame, row: np.ndarray, share: np.ndarray, prior: np.ndarray
             nos, ids, train, texts, hist, last = zip(*held)
             u = build(seen, share, prior, list(texts), list(hist), list(train))
             taught = sum(len(t) - h for t, h, k in zip(texts, hist, train) if k), sum(e for e, k in zip(last, train) if k)
-            d = u.dump()
+            d, often = u.dump(), np.bincount(u.kind[u.taught()], minlength=len(u.names))
+            counts = np.bincount(u.rows, weights=np.repeat(often, u.n), minlength=int(row.max()) + 1).astype(np.uint32)
+            top = [u.names[k] for k in np.argsort(-often, kind="stable")[:COMMON].tolist() if often[k]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([unit]), pa.array([list(nos)], type=pa.list_(pa.int64())), pa.array([list(ids)], type=pa.list_(id_type)), *(pa.array([x]) for x in (*taught, size)), *(pa.array([d[k]], type=pa.binary()) for k in UNIT_COLUMNS)],
-                names=["unit", "nos", "ids", "tokens", "texts", "bytes", *UNIT_COLUMNS],
+                [pa.array([unit]), pa.array([list(nos)], type=pa.list_(pa.int64())), pa.array([list(ids)], type=pa.list_(id_type)), *(pa.array([x]) for x in (*taught, size)), pa.array([pack(counts)], type=pa.binary()), pa.array([top], type=pa.list_(pa.binary())), *(pa.array([d[k]], type=pa.binary()) for k in UNIT_COLUMNS)],
+                names=["unit", "nos", "ids", "tokens", "texts", "bytes", "counts", "top", *UNIT_COLUMNS],
             )
 
         for b in batches:
@@ -284,7 +322,83 @@ def units(rows: DataFrame, row: np.ndarray, share: np.ndarray, prior: np.ndarray
             yield from out(held, size, unit)
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(go, f"unit long, nos array<long>, ids array<{kind}>, tokens long, texts long, bytes long, " + ", ".join(f"{k} binary" for k in UNIT_COLUMNS))
+    return rows.mapInArrow(go, f"unit long, nos array<long>, ids array<{kind}>, tokens long, texts long, bytes long, counts binary, top array<binary>, " + ", ".join(f"{k} binary" for k in UNIT_COLUMNS))
+
+
+def totals(found: DataFrame) -> dict[int, np.ndarray]:
+    """found: at long, x array<double>. The sum of the arrays of each `at`."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x in zip(b.column(0).to_pylist(), b.column(1)):
+                x = x.values.to_numpy()
+                sums[at] = sums[at] + x if at in sums else x.copy()
+        for at, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([x], type=pa.list_(pa.float64()))], names=["at", "x"])
+
+    got = found.repartition("at").mapInArrow(add, "at long, x array<double>").toArrow()
+    return {at: x.values.to_numpy() for at, x in zip(got.column("at").to_pylist(), got.column("x"))}
+
+
+def emitted(arrays: dict[int, np.ndarray]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(list(arrays), type=pa.int64()), pa.array([np.asarray(x, dtype=np.float64) for x in arrays.values()], type=pa.list_(pa.float64()))], names=["at", "x"])
+
+
+def piece_counts(every: DataFrame, size: int) -> np.ndarray:
+    """How often all training texts have each piece."""
+
+    def go(batches):
+        n = np.zeros(-(-size // 64) * 64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                x = unpack(x)
+                n[: len(x)] += x
+        yield emitted(dict(enumerate(n.reshape(-1, 64))))
+
+    got = totals(every.select("counts").mapInArrow(go, "at long, x array<double>"))
+    return np.concatenate([got[k] for k in range(len(got))])[:size] if got else np.zeros(size)
+
+
+def turn(every: DataFrame, row: np.ndarray, share: np.ndarray, prior: np.ndarray, asked: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A turn of EM over all training texts: the new shares and priors; and how often the asked words stand in them."""
+    sent = every.sparkSession.sparkContext.broadcast((row, share, prior, {w: k for k, w in enumerate(asked)}))
+    asks = len(asked)
+
+    def go(batches):
+        row, share, prior, asked = sent.value
+        c, n, counts = np.zeros((ROWS, EXPERTS)), np.zeros(EXPERTS), np.zeros(asks)
+        for b in batches:
+            for x in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+                u = Unit.load(*x)
+                u.rows = row[u.rows].astype(np.int64)
+                part, _ = u.places()
+                z = u.likely(share, prior)
+                r = np.exp(z - z.max(axis=1, keepdims=True))
+                r /= r.sum(axis=1, keepdims=True)
+                n += r[u.train > 0].sum(axis=0)
+                mine = u.taught()
+                kind, part = u.kind[mine], part[mine]
+                for k in range(EXPERTS):
+                    by = np.bincount(kind, weights=r[part, k], minlength=len(u.names))
+                    c[:, k] += np.bincount(u.rows, weights=np.repeat(by, u.n), minlength=ROWS)
+                if asks:
+                    at = np.array([asked.get(w, -1) for w in u.names])
+                    counts[at[at >= 0]] += np.bincount(kind, minlength=len(u.names))[at >= 0]
+        yield emitted(dict(enumerate(c)) | {ROWS: n, ROWS + 1: counts})
+
+    got = totals(every.select(*UNIT_COLUMNS).mapInArrow(go, "at long, x array<double>"))
+    if not got or not got[ROWS].sum():
+        return share, prior, np.zeros(asks)
+    c = np.stack([got[k] for k in range(ROWS)], axis=1)
+    total = c.sum(axis=0) + 0.1
+    c += 20 * total / total.sum()
+    n = got[ROWS]
+    return np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32), (n + 1) / (n.sum() + EXPERTS), got[ROWS + 1]
 
 
 def spelled(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -373,18 +487,21 @@ def answer_triples(found: list[tuple]):
 STATS = ("known", "all", "once", "classes", "hash", "by")
 
 
-def answers(every: DataFrame, common: set[bytes], shards: int, frequent: float) -> DataFrame:
-    """unit, shard, sort, a, b, c: the answers to each unit; with a null unit what a shard has counted, in `stats`."""
-    sent = every.sparkSession.sparkContext.broadcast(common)
+def answers(every: DataFrame, common: set[bytes], shards: int, frequent: float, dealt: tuple | None = None) -> DataFrame:
+    """dealt: of units of piece ids the rows, shares and priors that deal them to experts. unit, shard, sort, a, b, c: the answers to each unit; with a null unit what a shard has counted, in `stats`."""
+    sent = every.sparkSession.sparkContext.broadcast((common, dealt))
 
     def send(batches):
         import pyarrow as pa
 
+        common, dealt = sent.value
         for b in batches:
             for k in range(b.num_rows):
                 u = Unit.load(*(b.column(1 + j)[k].as_py() for j in range(len(UNIT_COLUMNS))))
+                if dealt:
+                    u.deal(*dealt)
                 hashes = hashed(u.names)
-                is_common = np.fromiter((w in sent.value for w in u.names), dtype=bool, count=len(u.names))
+                is_common = np.fromiter((w in common for w in u.names), dtype=bool, count=len(u.names))
                 got = [(s, sort, [(pack_sorted if sort == TRIPLES and not j else pack)(x) for j, x in enumerate(arrays)]) for s, sort, arrays in shares(u, hashes, is_common, shards)]
                 unit = b.column(0)[k].as_py()
                 yield pa.RecordBatch.from_arrays(
@@ -455,18 +572,14 @@ class Model:
     def spelling(self, names: list[bytes]) -> np.ndarray:
         """log10 probability that an unseen word is spelled so, its end included."""
         if self.log_spell is None:
-            n3 = np.zeros(1 << 24, dtype=np.float32)
-            n3[self.codes] = self.code_n
-            n3 = n3.reshape(1 << 16, 256)
-            n2 = np.zeros((256, 256))
-            for a in range(256):
-                n2 += n3[a << 8 : (a + 1) << 8]
+            n2 = np.bincount(self.codes & 0xFFFF, weights=self.code_n, minlength=1 << 16).reshape(256, 256)
             p1 = (n2.sum(axis=0) + 1) / (n2.sum() + 256)
             p2 = (n2 + 5 * p1) / (n2.sum(axis=1, keepdims=True) + 5)
-            for a in range(256):
-                own = n3[a << 8 : (a + 1) << 8]
-                own[:] = np.log10((own + 5 * p2) / (own.sum(axis=1, keepdims=True) + 5))
-            self.log_spell = n3.reshape(-1).astype(np.float16)
+            self.log_spell, first = np.empty(1 << 24, dtype=np.float16), self.codes >> 16
+            for a in range(256):  # by the first byte, as the whole in wider numbers is large
+                mine = first == a
+                own = np.bincount(self.codes[mine] & 0xFFFF, weights=self.code_n[mine], minlength=1 << 16).reshape(256, 256)
+                self.log_spell[a << 16 : (a + 1) << 16] = np.log10((own + 5 * p2) / (own.sum(axis=1, keepdims=True) + 5)).ravel()
         b = np.frombuffer(b" " + b" ".join(b" " + w for w in names) + b" ", dtype=np.uint8).astype(np.uint32)
         code = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
         log = np.where((b[1:-1] != 32) | (b[2:] != 32), self.log_spell[code].astype(np.float32), 0)
@@ -558,6 +671,79 @@ class Model:
         return self
 
 
+class Learner:
+    """One task's way over the training texts of its units, from the model's start, each word as counted without itself."""
+
+    VECTORS = Attention.NAMES[1:]
+
+    def __init__(self, model: Model):
+        self.model, self.net = model, copy.deepcopy(model.net)
+        self.words, self.read = 0, np.zeros(ROWS + 1)
+        self.ratio = np.zeros((18, 2 * STEPS * MOST + 1))
+
+    def over(self, found) -> None:
+        """found: units with their answers."""
+        self.net.train((b for x in found for b in self.batches(*x)), RATE)
+
+    def batches(self, u: Unit, hashes: np.ndarray, n: np.ndarray, cls: np.ndarray, triples):
+        i, c, total, kinds, _ = triples
+        mine = u.taught()
+        _, less = self.model.word_shares(u.names, hashes, n, cls)
+        rows, place = self.model.layout(u)
+        next_, given = np.full(rows.size, -1, dtype=np.int32), np.zeros(rows.shape, dtype=np.float32)
+        next_[place[mine]] = u.kind[mine]
+        next_ = next_.reshape(rows.shape)
+        valid = next_ >= 0
+        live = np.flatnonzero(valid.any(axis=1))
+        order = np.random.default_rng(len(rows)).permutation(live)
+        for a in range(0, len(order), MANY):
+            b = order[a : a + MANY]
+            yield np.concatenate((rows[b - 1], rows[b]), axis=1), valid[b], less[next_[b]]
+            given[b] = self.net.given
+        self.words += int(mine.sum())
+        self.read += np.bincount(rows[live].ravel(), minlength=ROWS + 1) + np.bincount(rows[live - 1].ravel(), minlength=ROWS + 1)
+        q = np.maximum(given.reshape(-1)[place].astype(np.float64), 1e-35)
+        cell, before, out, rest = self.model.repeated(u, i, c, total, kinds, True)
+        on = mine & (cell > 0)
+        log = np.log(np.maximum(out[on] / q[on] + rest[on], 1e-9))
+        at = np.clip(np.rint(log * STEPS), -STEPS * MOST, STEPS * MOST).astype(np.int64) + STEPS * MOST
+        self.ratio += np.bincount((cell * 3 + before)[on] * self.ratio.shape[1] + at, minlength=self.ratio.size).reshape(self.ratio.shape)
+
+    def told(self) -> dict[int, np.ndarray]:
+        """Sums that tasks add up: of each read row its weight and weighted embedding, then the other parameters, then the ratios."""
+        if not self.words:
+            return {}
+        flat = np.concatenate([getattr(self.net, k).ravel() for k in self.VECTORS])
+        rows = {r: self.read[r] * np.concatenate(([1], self.net.e[r])) for r in np.flatnonzero(self.read[:ROWS]).tolist()}
+        return rows | {ROWS: self.words * np.concatenate(([1], flat)), ROWS + 1: self.ratio.ravel()}
+
+    def merged(self, told: dict[int, np.ndarray]) -> tuple[Attention, np.ndarray]:
+        """The attention by the sums of all tasks, and the trust by EM."""
+        net, trust = self.net, self.model.trust.copy()
+        if not told:
+            return net, trust
+        for r, x in told.items():
+            if r < ROWS:
+                net.e[r] = x[1:] / x[0]
+        flat, at = (told[ROWS][1:] / told[ROWS][0]).astype(np.float32), 0
+        for k in self.VECTORS:
+            old = getattr(net, k)
+            setattr(net, k, flat[at : at + old.size].reshape(old.shape))
+            at += old.size
+        seen = told[ROWS + 1].reshape(self.ratio.shape)
+        times, t = np.exp((np.arange(seen.shape[1]) - STEPS * MOST) / STEPS), np.full((18, 1), 0.5)
+        for _ in range(20):
+            t = ((seen * t * times / (t * times + 1 - t)).sum(axis=1, keepdims=True) + 0.5) / (seen.sum(axis=1, keepdims=True) + 1)
+        trust[1:] = t.reshape(6, 3)[1:]
+        return net, trust
+
+
+def shuffled_once(df: DataFrame) -> DataFrame:
+    """df over the very rows of one execution, so that several jobs read the same shuffle instead of making it again."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
+
+
 def gathered(u: Unit, hashes: np.ndarray, common: np.ndarray, shards: int, got: dict) -> tuple:
     """A unit's answers in its own order: of each word count and class; of each place with a stored context the counts."""
     shard = ((hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
@@ -586,19 +772,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = [words(r.t.encode()) for r in sample.orderBy("h", "t").limit(FIT_TEXTS).collect() if r.t]
     found = [w[1:-1] if len(w) > 8 else w for w in found]  # the outer words may be cut
     found = [w for w in found if w] or [[END]]
-    row, share, prior = experts(found, model)
-    top: dict[bytes, int] = {}
-    for w in chained.from_iterable(found):
-        top[w] = top.get(w, 0) + 1
-    common = set(sorted(top, key=lambda w: (-top[w], w))[:COMMON])
     numbered = rows.select(F.monotonically_increasing_id().alias("no"), "_id", "_train", F.col("_text").cast("binary").alias("_text"))
-    every = stash(units(numbered, row, share, prior, model), "units")
+    vocabulary = encoder(model).get_piece_size()
+    ids = np.arange(vocabulary, dtype=np.uint16)
+    every = stash(units(numbered, ids, None, None, model), "units")
+    row, share, prior = experts(found, model, by_frequency(piece_counts(every, vocabulary)))
+    asked = sorted(bytes(r.w) for r in every.select(F.explode("top").alias("w")).distinct().collect())
+    for k in range(TURNS):
+        share, prior, counts = turn(every, row, share, prior, [] if k else asked)
+        if not k:
+            common = {asked[j] for j in np.argsort(-counts, kind="stable")[:COMMON].tolist()}
     n_all, texts, size = (x or 0 for x in every.agg(F.sum("tokens"), F.sum("texts"), F.sum("bytes")).first())
     shards = int(min(1 << 23, max(1, size // SHARD)))
-    own = build(Words(row, model), share, prior, found, [0] * len(found), [False] * len(found))
+    own = build(Words(ids, model), None, None, found, [0] * len(found), [False] * len(found))
     dumped = own.dump()
+    own.deal(row, share, prior)
     fit_rows = spark.createDataFrame([(SAMPLE, *(dumped[k] for k in UNIT_COLUMNS))], every.select("unit", *UNIT_COLUMNS).schema)
-    replies = stash(answers(every.select("unit", *UNIT_COLUMNS).unionByName(fit_rows), common, shards, max(1.0, n_all / FREQUENT)), "replies")
+    replies = stash(answers(every.select("unit", *UNIT_COLUMNS).unionByName(fit_rows), common, shards, max(1.0, n_all / FREQUENT), (row, share, prior)), "replies")
     stats = replies.filter("unit is null")
     add = {k: np.zeros(m, dtype=np.int64) for k, m in (("known", 1), ("all", EXPERTS), ("once", EXPERTS), ("classes", EXPERTS * EXPERTS))}
     flat = lambda c: c.combine_chunks().values.to_numpy() if len(c) else np.zeros(0, np.int64)
@@ -615,32 +805,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     if n_all:
         hashes, is_common = hashed(own.names), np.array([w in common for w in own.names])
         made.fit(own, hashes, *gathered(own, hashes, is_common, shards, {(r.shard, r["sort"]): tuple(bytes(x) for x in (r.a, r.b, r.c) if x is not None) for r in mine}))
-    sent = spark.sparkContext.broadcast((made, common))
+    sent = spark.sparkContext.broadcast((made, common, row))
     kind = rows.schema["_id"].dataType.simpleString()
     denominator = float(np.log10(n_all + 1.0 * (v_all + 1)))
 
-    def go(batches):
-        import pyarrow as pa
-
-        made, common = sent.value
+    def answered(batches):
+        """Units as they come, each behind its parts' numbers and ids: (nos, ids, unit, hashes, counts, classes, triples)."""
+        _, common, row = sent.value
 
         def out(unit, got):
             u = Unit.load(*unit[2:])
+            u.rows = row[u.rows].astype(np.int64)
             hashes = hashed(u.names)
             is_common = np.fromiter((w in common for w in u.names), dtype=bool, count=len(u.names))
-            n, cls, triples = gathered(u, hashes, is_common, shards, got)
-            log, less = made.score(u, hashes, n, cls, triples)
-            mine = triples[-1]
-            add = lambda x: np.add.reduceat(x, np.cumsum(u.size) - u.size)
-            base = np.log10(n + 1.0) - denominator
-            columns = [u.size - u.hist, add(np.where(mine, n[u.kind] > 0, False).astype(np.int64)), add(np.where(mine, base[u.kind], 0)), add(log), add(less)]
-            yield pa.RecordBatch.from_arrays([pa.array(unit[0], type=pa.int64()), pa.array(unit[1], type=id_type), *map(pa.array, columns)], names=["no", "_id", "tokens", "known", "base", "score", "less"])
+            return *unit[:2], u, hashes, *gathered(u, hashes, is_common, shards, got)
 
         key, unit, got = None, None, {}
         for b in batches:
             for r in zip(*(b.column(j).to_pylist() for j in range(b.num_columns))):
                 if r[0] != key and unit:
-                    yield from out(unit, got)
+                    yield out(unit, got)
                 if r[0] != key:
                     key, unit, got = r[0], None, {}
                 if r[2] is None:
@@ -648,14 +832,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 else:
                     got[r[1], r[2]] = tuple(x for x in r[3:6] if x is not None)
         if unit:
-            yield from out(unit, got)
+            yield out(unit, got)
+
+    def learn(batches):
+        own = Learner(sent.value[0])
+        own.over(x[2:] for x in answered(batches))
+        yield emitted(own.told())
+
+    def go(batches):
+        import pyarrow as pa
+
+        sent.value[0].spelling([END])  # once a worker
+        made = copy.copy(sent.value[0])
+        made.net, made.trust = fitted.value
+        made.tables = made.net.tables()
+        for nos, ids, u, hashes, n, cls, triples in answered(batches):
+            log, less = made.score(u, hashes, n, cls, triples)
+            mine = triples[-1]
+            add = lambda x: np.add.reduceat(x, np.cumsum(u.size) - u.size)
+            base = np.log10(n + 1.0) - denominator
+            columns = [u.size - u.hist, add(np.where(mine, n[u.kind] > 0, False).astype(np.int64)), add(np.where(mine, base[u.kind], 0)), add(log), add(less)]
+            yield pa.RecordBatch.from_arrays([pa.array(nos, type=pa.int64()), pa.array(ids, type=id_type), *map(pa.array, columns)], names=["no", "_id", "tokens", "known", "base", "score", "less"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(rows.schema["_id"].dataType)
     unit_rows = every.select("unit", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("int").alias("sort"), *(F.lit(None).cast("binary").alias(k) for k in "abc"), "nos", "ids", *UNIT_COLUMNS)
     answer_rows = replies.filter(F.col("unit") != SAMPLE).select("unit", "shard", "sort", "a", "b", "c", F.lit(None).cast("array<long>").alias("nos"), F.lit(None).cast(f"array<{kind}>").alias("ids"), *(F.lit(None).cast("binary").alias(k) for k in UNIT_COLUMNS))
-    met = unit_rows.unionByName(answer_rows).repartition("unit").sortWithinPartitions("unit", F.col("sort").asc_nulls_first())
+    met = shuffled_once(unit_rows.unionByName(answer_rows).repartition("unit").sortWithinPartitions("unit", F.col("sort").asc_nulls_first()))
+    fitted = spark.sparkContext.broadcast(Learner(made).merged(totals(met.mapInArrow(learn, "at long, x array<double>"))))
     scored = met.mapInArrow(go, f"no long, _id {kind}, tokens long, known long, base double, score double, less double")
     whole = scored.groupBy("no").agg(F.first("_id").alias("_id"), *(F.sum(k).alias(k) for k in ("tokens", "known", "base", "score", "less")))
     return whole.select(

@@ -1,3 +1,4 @@
+import copy
 import math
 import random
 import zlib
@@ -222,3 +223,56 @@ def test_beats_its_base_and_knows_copies(spark):
     copies = [r.score_without_own / r.n_tokens for r in got if r.doc_id in taught]
     alone = [r.score_without_own / r.n_tokens for r in got if r.doc_id not in twice]
     assert sorted(copies)[len(copies) // 10] > max(alone)
+
+
+def test_experts_are_those_of_all_training_texts(spark, monkeypatch):
+    """A turn of EM over units against all texts at once, and the counts of the asked words."""
+    monkeypatch.setattr(L, "UNIT", 1500)
+    rng = random.Random(10)
+    rows = [(k, k, k % 4 != 0, " ".join(rng.choice(["the", "of", "sea", "salt", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 40))).encode()) for k in range(120)]
+    ids = np.arange(L.encoder(L.MODEL).get_piece_size(), dtype=np.uint16)
+    every = L.stash(L.units(spark.createDataFrame(rows, "no long, _id long, _train boolean, _text binary"), ids, None, None, L.MODEL), "units")
+    assert every.count() > 3
+    taught = [[*L.words(t), L.END] for _, _, train, t in rows if train]
+    got = [L.pieces(ws, L.MODEL)[0] for ws in taught]
+    n = np.bincount(np.concatenate(got), minlength=len(ids))
+    assert L.piece_counts(every, len(ids)).tolist() == n.tolist()
+    row = L.by_frequency(n)
+    rng = np.random.default_rng(1)
+    share = np.log(rng.dirichlet(np.ones(L.ROWS), EXPERTS)).astype(np.float32)
+    prior = rng.dirichlet(np.ones(EXPERTS))
+    new, new_prior, asked = L.turn(every, row, share, prior, [b"sea", b"w3", b"absent"])
+    x = np.stack([np.bincount(row[g], minlength=L.ROWS) for g in got])
+    z = x @ share.T.astype(float) + np.log(prior)
+    r = np.exp(z - z.max(axis=1, keepdims=True))
+    r /= r.sum(axis=1, keepdims=True)
+    c = r.T @ x
+    total = c.sum(axis=0) + 0.1
+    c += 20 * total / total.sum()
+    assert new == pytest.approx(np.log(c / c.sum(axis=1, keepdims=True)), abs=1e-3)
+    assert new_prior == pytest.approx((r.sum(axis=0) + 1) / (len(r) + EXPERTS), abs=1e-4)
+    assert asked.tolist() == [sum(ws.count(w) for ws in taught) for w in (b"sea", b"w3", b"absent")]
+
+
+def test_every_training_word_fits_the_model(spark, monkeypatch):
+    """Whatever the sample that starts it, attention and trust are those of all training words."""
+    monkeypatch.setattr(L, "FIT_TEXTS", 2)
+    monkeypatch.setattr(L, "UNIT", 4000)
+    monkeypatch.setattr(L, "COMMON", 3)
+    rng, met = random.Random(13), []
+    rows = [(k, " ".join(rng.choice([f"a{k % 7}", "of", f"w{rng.randint(0, 40)}"]) for _ in range(rng.randint(1, 60)))) for k in range(300)]
+    merged = L.Learner.merged
+
+    def watched(self, told):
+        start = copy.deepcopy(self.net)
+        met.append((told, start, *merged(self, told)))
+        return met[0][2:]
+
+    monkeypatch.setattr(L.Learner, "merged", watched)
+    got = L.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told, start, net, trust = met[0]
+    assert told[L.ROWS][0] == got[0].train_tokens > 5000
+    texts = [L.words(t.encode()) for i, t in rows if not held(i)]
+    pieces = {p for ws in texts for p in L.pieces([*ws, L.END], L.MODEL)[0].tolist()}
+    assert len([r for r in told if r < L.ROWS]) == len(pieces) + 1  # and a text's beginning
+    assert abs(net.w2 - start.w2).max() > 0 and told[L.ROWS + 1].sum() > 100 and (trust[1:] != 0.5).any()
