@@ -7,10 +7,9 @@ distance. Links between different fingerprints are closed by connected component
 
 Copies share a fingerprint and enter the index once. Within a bucket, pairs are compared, but only
 a spanning forest of the verified links leaves it. A bucket of more than HOT fingerprints is dealt
-out again by a second wildcard over another segment, so groups of any size stay distributed. For two segments and a limit of two bits
-this is exact, since any two that meet again are within two bits. For more segments the members within SURE bits of one
-of the bucket's hubs link to that hub; the others meet again if they share a second key (of two texts that share 0.8 of their
-shingles 0.90 do, instead of the 0.98 that share one).
+out again, so groups of any size stay distributed: of two segments and a limit of two bits by a second wildcard over the other segment, which
+is exact, since any two that meet again are within two bits; of more segments by blocks of HOT / 2, each of which meets each other one, so that every
+pair of the bucket is compared. Members within SURE bits of one of the bucket's hubs link to that hub and count as together with its others.
 
 Defined results: null or empty text has fingerprint zero; fewer words than a shingle make one
 shingle of all; ids may be of any type that sorts; a component has the smallest id of its rows, a null id takes part and shows null
@@ -30,7 +29,7 @@ from proselens.llm.common import LOWER, arrow_batches, skewed_join, stash, table
 from proselens.llm.components import components
 
 LANE = 64
-#: Fingerprints under one key that one task compares; beyond it, two segments are indexed at once.
+#: Fingerprints under one key that one task compares; beyond it, two segments are indexed at once or blocks of half as many compared.
 HOT = 4096
 #: Runs of up to so many are compared at fixed offsets, all of a batch at once.
 SMALL = 12
@@ -148,10 +147,10 @@ def hubs(f: np.ndarray, cut: Cut, most: int) -> Iterator[tuple[int, np.ndarray]]
         most -= 1
 
 
-def forests(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
+def forests(key: int, f: np.ndarray, cut: Cut, star: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Where links are verified later: first stars of at most SURE bits around hubs, then a forest between what is not yet together, grown
     by LAYER bits up to the limit, the closest links first: what hangs together within so many bits still does so when
-    wider links of the bucket fail."""
+    wider links of the bucket fail. star: of a block's members the number of the hub that each has been linked to, or -1."""
     if cut.seen == cut.lanes:
         yield from ((x, y) for x, y, own in forest(key, f, cut, cut.limit) if own)
         return
@@ -164,9 +163,12 @@ def forests(key: int, f: np.ndarray, cut: Cut) -> Iterator[tuple[int, int]]:
         return x
 
     k = np.uint64(key)
-    for hub, star in hubs(f, cut, len(f)):
-        new = cut.new(np.full(len(star), k), f[star] ^ f[hub])  # the others meet this hub under the first wildcard too
-        for y, own in zip(star.tolist(), new.tolist()):
+    if star is not None:
+        _, first, at = np.unique(star, return_index=True, return_inverse=True)
+        root = np.where(star < 0, np.arange(len(f)), first[at]).tolist()
+    for hub, near in hubs(f, cut, len(f)) if star is None else ():
+        new = cut.new(np.full(len(near), k), f[near] ^ f[hub])  # the others meet this hub under the first wildcard too
+        for y, own in zip(near.tolist(), new.tolist()):
             if y != hub:
                 root[y] = hub
                 if own:
@@ -205,23 +207,17 @@ def forest(key: int, f: np.ndarray, cut: Cut, limit: int) -> Iterator[tuple[int,
 
 
 def second(key: np.ndarray, f: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers and key pairs of hot members under a second wildcard, that of another segment.
-
-    Of two segments: this bucket and each wildcard of the other; under the first wildcard also this segment as it is and
-    two wildcards of the other. Of more: this bucket and each wildcard of the later segments; pairs that meet in an earlier one
-    as well are dealt on from there."""
+    """Row numbers and key pairs of hot members under a second wildcard, that of the other of two segments: this bucket and each
+    wildcard of the other; under the first wildcard also this segment as it is and two wildcards of the other."""
     rows, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for s in np.unique(key >> np.uint64(48)).tolist():
         at = np.flatnonzero(key >> np.uint64(48) == np.uint64(s))
-        for r in [1 - s] if exact(cut) else range(s + 1, len(cut.parts)):
-            lane, shift, width = cut.parts[r]
-            other = (f[at, lane] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            for j in range(width):
-                rows.append(at)
-                one.append(key[at])
-                two.append((other & ~np.uint64(1 << j)) | np.uint64(r << 48 | j << 40))
-        if not exact(cut):
-            continue
+        lane, shift, width = cut.parts[1 - s]
+        other = (f[at, lane] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        for j in range(width):
+            rows.append(at)
+            one.append(key[at])
+            two.append((other & ~np.uint64(1 << j)) | np.uint64((1 - s) << 48 | j << 40))
         first = (key[at] >> np.uint64(40)) & np.uint64(255) == 0
         at, other = at[first], other[first]
         lane, shift, width = cut.parts[s]
@@ -235,16 +231,28 @@ def second(key: np.ndarray, f: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(one), np.concatenate(two)
 
 
+def blocks(key: np.ndarray, node: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys under which each hot member's block, one of `count` of its bucket, meets each block. Segment and wildcard
+    stay in the key; keys that fall together only add pairs."""
+    row = np.repeat(np.arange(len(key)), count)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    own = (mixed(node.view(np.uint64), 3) % count.astype(np.uint64)).astype(np.int64)[row]
+    pair = np.minimum(own, other).astype(np.uint64) << np.uint64(32) | np.maximum(own, other).astype(np.uint64)
+    low = np.uint64((1 << 40) - 1)
+    return row, (key[row] & ~low) | (mixed(key[row] ^ mixed(pair, 1), 2) & low)
+
+
 def exact(cut: Cut) -> bool:
     return len(cut.parts) == 2 and cut.limit <= 2
 
 
-def scan(batches, cut: Cut, deal: bool = True):
+def scan(batches, cut: Cut, most: int | None = None, deal: bool = True):
     """Buckets come as runs of equal keys; small runs are compared at once, larger ones each, hot ones are dealt on.
 
-    Yields links (u, v), and members to deal on: (u, key, second key), or (u, key) where rows lack the lanes of a second key.
-    Without deal a hot bucket is compared in blocks, each with the hubs of those before."""
-    key, node, f = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, cut.width), np.uint64)
+    Yields links (u, v), and members to deal on: (u, key, second key), or (u, key, number of the hub that it is linked to or -1).
+    most: members of a bucket that is not hot, else HOT. Without deal, buckets are pairs of blocks, with the hubs' numbers behind the fingerprints."""
+    most = most or HOT
+    key, node, f = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, cut.width + (not deal)), np.uint64)
     hot, middle, names = None, np.empty((0, cut.width), np.uint64), []
     none = np.zeros(0, np.uint64)
 
@@ -285,7 +293,8 @@ def scan(batches, cut: Cut, deal: bool = True):
         for k in np.flatnonzero(size > SMALL).tolist():
             a, b = int(edge[k]), int(edge[k + 1])
             order = a + np.argsort(node[a:b], kind="stable")  # the same start in every bucket: fewer different links
-            if pairs := list(forests(int(key[a]), f[order], cut)):
+            star = None if deal else f[order, -1].view(np.int64)
+            if pairs := list(forests(int(key[a]), f[order, : cut.width], cut, star)):
                 x = np.array(pairs)
                 yield links(node[order[x[:, 0]]], node[order[x[:, 1]]])
 
@@ -297,20 +306,20 @@ def scan(batches, cut: Cut, deal: bool = True):
                 r, one, two = second(k, g, cut)
                 yield n[r], None, one, two
                 continue
-            rest = np.ones(len(k), dtype=bool)
-            for hub, name in zip(middle, names):
+            star = np.full(len(k), -1, dtype=np.int64)
+            for number, (hub, name) in enumerate(zip(middle, names)):
                 diff = g ^ hub
-                near = rest & close(diff, SURE, cut.seen)
+                near = (star < 0) & close(diff, SURE, cut.seen)
                 own = near & cut.new(k, diff) & (n != name)
                 if own.any():
                     yield links(n[own], np.full(int(own.sum()), name))
-                rest &= ~near | (n == name)
-            yield n[rest], None, k[rest], None
+                star[near] = number
+            yield n, None, k, star.view(np.uint64)
 
     for b in batches:
         key = np.concatenate((key, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
         node = np.concatenate((node, b.column(1).to_numpy(zero_copy_only=False)))
-        f = np.concatenate((f, np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(cut.width)], axis=1)))
+        f = np.concatenate((f, np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(f.shape[1])], axis=1)))
         while len(key):
             if hot is not None:
                 n = int(np.searchsorted(key != hot, True)) if (key != hot).any() else len(key)
@@ -321,19 +330,14 @@ def scan(batches, cut: Cut, deal: bool = True):
                 hot = None
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((edge, [len(key)])))
-            over = np.flatnonzero(size > HOT)
+            over = np.flatnonzero(size > most) if deal else []
             n = int(edge[over[0]]) if len(over) else int(edge[-1])
             yield from done(key[:n], node[:n], f[:n])
             key, node, f = key[n:], node[n:], f[n:]
             if not len(over):
                 break
-            if not deal:
-                yield from done(key[:HOT], node[:HOT], f[:HOT])
-                keep = np.concatenate((sorted({0, *(h for h, _ in hubs(f[:HOT], cut, HUBS))}), np.arange(HOT, len(key)))).astype(np.int64)
-                key, node, f = key[keep], node[keep], f[keep]
-                continue
             hot = key[0]
-            found = [] if exact(cut) else [h for h, _ in hubs(f[:HOT], cut, HUBS)]
+            found = [] if exact(cut) else [h for h, _ in hubs(f[:most], cut, HUBS)]
             middle, names = f[found], node[found].tolist()
     if hot is None:
         yield from done(key, node, f)
@@ -341,7 +345,7 @@ def scan(batches, cut: Cut, deal: bool = True):
 
 def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
     """nodes: node long and f0.. of different fingerprints. Links u, v that connect all that are close."""
-    lanes = cut.lanes
+    lanes, most = cut.lanes, HOT
     fcols = [f"f{k}" for k in range(lanes)]
     cols = ["key", "node", *(f"f{k}" for k in range(cut.width))]
 
@@ -364,24 +368,32 @@ def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
     def go(batches):
         import pyarrow as pa
 
-        for u, v, one, two in scan(batches, cut):
+        for u, v, one, two in scan(batches, cut, most):
             n = len(u)
             null = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(u), *((null, pa.array(one.view(np.int64)), null if two is None else pa.array(two.view(np.int64))) if v is None else (pa.array(v), null, null))], names=["u", "v", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), *((null, pa.array(one.view(np.int64)), pa.array(two.view(np.int64))) if v is None else (pa.array(v), null, null))], names=["u", "v", "one", "two"])
 
     def again(batches):
-        """Members of hot buckets with all lanes: their rows under each second key. The hidden bit counts all of them as new."""
+        """Members of hot buckets with all lanes: their rows under each pair of blocks that has theirs."""
+        import pyarrow as pa
+
+        lane, shift = (np.array([x[k] for x in cut.parts]) for k in (0, 1))
         for b in batches:
-            key, f = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), numbers(b, 2)
-            for a in range(0, len(key), 512):
-                r, one, two = second(key[a : a + 512], f[a : a + 512], cut)
-                both = mixed(one ^ mixed(two, 1), 2) & np.uint64((1 << 40) - 1)  # no wildcard number: a pair counts each time it meets
-                yield table(both | (two >> np.uint64(48) << np.uint64(48)), b.column(0).to_numpy(zero_copy_only=False)[a + r], f[a + r], np.zeros(len(r), np.uint64))
+            node, key, star, count = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key, f = key.view(np.uint64), numbers(b, 4)
+            seg, wild = (key >> np.uint64(48)).astype(np.int64), (key >> np.uint64(40)) & np.uint64(255)
+            hidden = (f[np.arange(len(f)), lane[seg]] >> (shift[seg].astype(np.uint64) + wild)) & np.uint64(1)
+            edge, step = np.cumsum(count), 1 << 16
+            for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(edge // step)) + 1):
+                r, both = blocks(key[part], node[part], count[part])
+                r = part[r]
+                t = table(both, node[r], f[r], hidden[r])
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(star[r])], names=[*cols, "star"])
 
     def last(batches):
         import pyarrow as pa
 
-        for u, v, _, _ in scan(batches, cut, deal=False):
+        for u, v, _, _ in scan(batches, cut, most, deal=False):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     index = nodes.select("node", *fcols).mapInArrow(variants, ", ".join(f"{c} long" for c in cols))
@@ -393,8 +405,9 @@ def fingerprint_links(nodes: DataFrame, cut: Cut) -> DataFrame:
         return links.unionByName(met.select(F.explode("us").alias("u"), "v"))
     if hot.isEmpty():
         return links
-    full = hot.select(F.col("u").alias("node"), "one").join(nodes, "node").select("node", "one", *fcols)
-    more = full.mapInArrow(again, ", ".join(f"{c} long" for c in cols)).repartition("key").sortWithinPartitions("key", "node")
+    count = F.broadcast(hot.groupBy("one").agg(F.ceil(F.count(F.lit(1)) * 2 / most).cast("long").alias("count")))
+    full = hot.select(F.col("u").alias("node"), "one", "two").join(count, "one").join(nodes, "node").select("node", "one", "two", "count", *fcols)
+    more = full.mapInArrow(again, ", ".join(f"{c} long" for c in [*cols, "star"])).repartition("key").sortWithinPartitions("key", "node")
     return links.unionByName(more.mapInArrow(last, "u long, v long"))
 
 

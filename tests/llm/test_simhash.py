@@ -162,3 +162,32 @@ def test_pairs_at_the_stated_similarity_link(spark):
         found = [linked[i] for i, j in pairs if low <= j < high]
         print(low, high, sum(found), len(found))
         assert len(found) >= 60 and sum(found) >= least * len(found)
+
+
+@pytest.mark.parametrize("hot, count", [(40, 150), (4096, 2200)])
+def test_a_hot_bucket_loses_no_pair(spark, monkeypatch, hot, count):
+    """Pairs that share one segment only, that of a bucket over the limit, some of them around a hub, link as in a small bucket."""
+    monkeypatch.setattr(S, "HOT", hot)
+    rng, cut = random.Random(21), S.Cut(8, 24, 30, 2)
+    lanes, pairs = [], []
+    hub = rng.getrandbits(128 - 21) << 21
+
+    def changed(seen, each):
+        for lane, shift, width in cut.parts[1:6]:
+            for bit in rng.sample(range(shift, shift + width), each):
+                seen ^= 1 << bit + 64 * lane
+        return seen
+
+    for k in range(count):
+        x = changed(hub, 2) if k % 3 == 0 else rng.getrandbits(128 - 21) << 21  # the first segment is zero in all
+        for seen in (x, changed(x, 4)):
+            lanes.append([seen & (1 << 64) - 1, seen >> 64, *(rng.getrandbits(64) for _ in range(6))])
+        pairs.append((2 * k, 2 * k + 1))
+    seen = np.array([x[:2] for x in lanes], dtype=np.uint64)
+    near = {(a, b) for b in range(len(seen)) for a in np.flatnonzero(S.close(seen[:b] ^ seen[b], cut.limit)).tolist()}
+    assert near >= set(pairs)
+    rows = [(k, *(int(np.uint64(y).astype(np.int64)) for y in x)) for k, x in enumerate(lanes)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{k} long" for k in range(8)))
+    root = {r.node: r.root for r in components(S.fingerprint_links(nodes, cut)).collect()}
+    lost = [(a, b) for a, b in near if root.get(a, a) != root.get(b, b)]
+    assert not lost
