@@ -62,11 +62,12 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{top.toString()}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def stash(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors. compression: else the session's;
+    "none" for bytes that are packed already, as a compressor holds a whole page beside the heap."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

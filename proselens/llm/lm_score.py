@@ -60,6 +60,8 @@ COMMON = 128
 SHARD = 4_000_000
 #: Words whose pieces a task remembers before it starts over.
 MEMORY = 120_000
+#: Words of a unit that are scored at once; bytes of an Arrow batch, which holds one unit at least.
+STRETCH, BATCH_BYTES = 50_000, 1 << 20
 #: Taken off the count of a repeated sequence; words of an expert that weigh like all the others' together.
 DISCOUNT, STRENGTH = 0.25, 1000.0
 END = b"\n"
@@ -90,8 +92,9 @@ def pieces(ws: list[bytes], model: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ragged(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(n) else 0) + np.repeat(lo - (ends - n), n)
+    out = np.repeat((lo - (np.cumsum(n) - n)).astype(lo.dtype), n)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -186,16 +189,27 @@ class Unit:
 
     def dump(self) -> dict[str, bytes]:
         kinds = {"kind": np.uint32, "size": np.uint32, "hist": np.uint8, "train": np.uint8, "expert": np.uint8, "rows": np.uint16, "n": np.uint32}
-        return {k: pack(getattr(self, k).astype(kinds[k])) for k in self.FIELDS} | {"names": b"\t".join(self.names)}
+        return {k: pack(getattr(self, k).astype(kinds[k])) for k in self.FIELDS} | {"names": pack(np.frombuffer(b"\t".join(self.names), dtype=np.uint8))}
 
     @classmethod
     def load(cls, names: bytes, *fields: bytes) -> Unit:
-        return cls(names.split(b"\t"), **{k: unpack(b).astype(np.int64) for k, b in zip(cls.FIELDS, fields)})
+        return cls(unpack(names).tobytes().split(b"\t"), **{k: unpack(b).astype(np.int64) for k, b in zip(cls.FIELDS, fields)})
 
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each word its part and its position there."""
-        part = np.repeat(np.arange(len(self.size)), self.size)
-        return part, np.arange(len(self.kind)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        part = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        return part, np.arange(len(self.kind), dtype=np.int32) - np.repeat((np.cumsum(self.size) - self.size).astype(np.int32), self.size)
+
+    def stretches(self, triples: tuple):
+        """The parts that begin in the same STRETCH words: (their words, a unit of them with all names, their triples)."""
+        i, *counts, own = triples
+        end = np.cumsum(self.size)
+        first = np.flatnonzero(np.diff((end - self.size) // STRETCH, prepend=-1)).tolist()
+        for lo, hi in zip(first, [*first[1:], len(end)]):
+            a, b = int(end[lo] - self.size[lo]), int(end[hi - 1])
+            x, y = np.searchsorted(i, (a, b)).tolist()
+            parts = {k: getattr(self, k)[lo:hi] for k in ("size", "hist", "train", "expert")}
+            yield slice(a, b), Unit(self.names, kind=self.kind[a:b], rows=self.rows, n=self.n, **parts), (i[x:y] - a, *(c[x:y] for c in counts), own[a:b])
 
     def likely(self, share: np.ndarray, prior: np.ndarray) -> np.ndarray:
         """(parts, experts): the log of prior and shares of a part's pieces."""
@@ -217,15 +231,17 @@ class Unit:
         """Of the words that have a stored context: place, shard and key; and whether a word is scored here."""
         part, at = self.places()
         begin = np.uint64(0x5BD1E995)
-        h, c = hashes[self.kind], common[self.kind]
-        one, two = np.where(at >= 1, np.roll(h, 1), begin), np.where(at >= 2, np.roll(h, 2), begin)
+        c = common[self.kind]
         known = np.where(at >= 1, np.roll(c, 1), True) & np.where(at >= 2, np.roll(c, 2), True)
         own = at >= self.hist[part]
         i = np.flatnonzero(own & ~known)
+        at = at[i]
+        del part, c, known
         with np.errstate(over="ignore"):
-            ctx = mix(mix(two[i] + np.uint64(7)) * np.uint64(0x100000001B3) + one[i])
+            ctx = mix(np.where(at >= 2, hashes[self.kind[i - 2]], begin) + np.uint64(7)) * np.uint64(0x100000001B3)
+            ctx = mix(ctx + np.where(at >= 1, hashes[self.kind[i - 1]], begin))
         shard = ((ctx >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
-        return i, shard.astype(np.int64), (ctx << np.uint64(24)) | (mix(h[i]) >> np.uint64(40)), own
+        return i, shard.astype(np.int64), (ctx << np.uint64(24)) | (mix(hashes[self.kind[i]]) >> np.uint64(40)), own
 
 
 def by_frequency(n: np.ndarray) -> np.ndarray:
@@ -605,10 +621,10 @@ class Model:
         per = 1 - (-size // SPAN)
         first = (np.cumsum(per) - per + 1) * SPAN
         before = np.cumsum(n) - n
-        place = first[part] + before - before[np.cumsum(u.size) - u.size][part]
-        rows = np.full(int(per.sum()) * SPAN, ROWS, dtype=np.int64)
+        place = (first[part] + before - before[np.cumsum(u.size) - u.size][part]).astype(np.int32)
+        rows = np.full(int(per.sum()) * SPAN, ROWS, dtype=np.int32)
         rows[first] = BEGIN
-        rows[ragged(place + 1, n)] = u.rows[ragged((np.cumsum(u.n) - u.n)[u.kind], n)]
+        rows[ragged(place + 1, n)] = u.rows[ragged((np.cumsum(u.n) - u.n).astype(np.int32)[u.kind], n)]
         return rows.reshape(-1, SPAN), place
 
     def repeated(self, u: Unit, i: np.ndarray, c: np.ndarray, total: np.ndarray, kinds: np.ndarray, less: bool):
@@ -631,19 +647,16 @@ class Model:
         """log10 probabilities of every word (0 where it is history), and without the text's own occurrence."""
         if not hasattr(self, "tables"):
             self.tables = self.net.tables()
-        i, c, total, kinds, own = triples
-        share, less = self.word_shares(u.names, hashes, n, cls)
-        rows, place = self.layout(u)
-        g = self.net.weights(rows, place, self.tables)
-        part, _ = u.places()
-        taught = u.train[part] > 0
-        both = []
-        for k, table in enumerate((share, less)):
-            q = np.einsum("ij,ij->i", g, table[u.kind]).astype(np.float64)
-            cell, before, out, rest = self.repeated(u, i, c, total, kinds, k == 1)
-            trust = self.trust[cell, before]
-            both.append(np.where(own, np.log10(trust * (out + rest * q) + (1 - trust) * q), 0))
-        return both[0], np.where(taught, both[1], both[0])
+        both, tables = np.zeros((2, len(u.kind))), self.word_shares(u.names, hashes, n, cls)
+        for span, v, (i, c, total, kinds, own) in u.stretches(triples):
+            rows, place = self.layout(v)
+            g = self.net.weights(rows, place, self.tables)
+            for k, table in enumerate(tables):
+                q = np.einsum("ij,ij->i", g, table[v.kind]).astype(np.float64)
+                cell, before, out, rest = self.repeated(v, i, c, total, kinds, k == 1)
+                trust = self.trust[cell, before]
+                both[k, span] = np.where(own, np.log10(trust * (out + rest * q) + (1 - trust) * q), 0)
+        return both[0], np.where(np.repeat(u.train, u.size) > 0, both[1], both[0])
 
     def fit(self, u: Unit, hashes: np.ndarray, n: np.ndarray, cls: np.ndarray, triples) -> Model:
         """On the sample, counted without itself: first the attention, then the trust by EM."""
@@ -686,7 +699,6 @@ class Learner:
         self.net.train((b for x in found for b in self.batches(*x)), RATE)
 
     def batches(self, u: Unit, hashes: np.ndarray, n: np.ndarray, cls: np.ndarray, triples):
-        i, c, total, kinds, _ = triples
         mine = u.taught()
         _, less = self.model.word_shares(u.names, hashes, n, cls)
         rows, place = self.model.layout(u)
@@ -702,12 +714,14 @@ class Learner:
             given[b] = self.net.given
         self.words += int(mine.sum())
         self.read += np.bincount(rows[live].ravel(), minlength=ROWS + 1) + np.bincount(rows[live - 1].ravel(), minlength=ROWS + 1)
-        q = np.maximum(given.reshape(-1)[place].astype(np.float64), 1e-35)
-        cell, before, out, rest = self.model.repeated(u, i, c, total, kinds, True)
-        on = mine & (cell > 0)
-        log = np.log(np.maximum(out[on] / q[on] + rest[on], 1e-9))
-        at = np.clip(np.rint(log * STEPS), -STEPS * MOST, STEPS * MOST).astype(np.int64) + STEPS * MOST
-        self.ratio += np.bincount((cell * 3 + before)[on] * self.ratio.shape[1] + at, minlength=self.ratio.size).reshape(self.ratio.shape)
+        given = given.reshape(-1)
+        for span, v, (i, c, total, kinds, _) in u.stretches(triples):
+            cell, before, out, rest = self.model.repeated(v, i, c, total, kinds, True)
+            on = np.flatnonzero(mine[span] & (cell > 0))
+            q = np.maximum(given[place[span][on]].astype(np.float64), 1e-35)
+            log = np.log(np.maximum(out[on] / q + rest[on], 1e-9))
+            at = np.clip(np.rint(log * STEPS), -STEPS * MOST, STEPS * MOST).astype(np.int64) + STEPS * MOST
+            self.ratio += np.bincount((cell * 3 + before)[on] * self.ratio.shape[1] + at, minlength=self.ratio.size).reshape(self.ratio.shape)
 
     def told(self) -> dict[int, np.ndarray]:
         """Sums that tasks add up: of each read row its weight and weighted embedding, then the other parameters, then the ratios."""
@@ -762,8 +776,11 @@ def gathered(u: Unit, hashes: np.ndarray, common: np.ndarray, shards: int, got:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """Per row: the id, held_out, n_tokens, n_known, train_tokens, base_score, score, and score_without_own: for a training text as
     if each of its words had been counted once less, so that it too is scored by what the others teach."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     arrow_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).withColumn("_train", fold(F.col("_id"), FOLDS) != HELD_OUT)
     at = F.xxhash64("_id", F.lit(3))
     sample = rows.filter("_train").select(at.alias("h"), F.expr(f"substring(_text, 1 + int(pmod(xxhash64(_id, 5), greatest(length(_text) - {FIT_CHARS}, 1))), {FIT_CHARS})").alias("t"))
@@ -775,7 +792,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     numbered = rows.select(F.monotonically_increasing_id().alias("no"), "_id", "_train", F.col("_text").cast("binary").alias("_text"))
     vocabulary = encoder(model).get_piece_size()
     ids = np.arange(vocabulary, dtype=np.uint16)
-    every = stash(units(numbered, ids, None, None, model), "units")
+    every = stash(units(numbered, ids, None, None, model), "units", "none")
     row, share, prior = experts(found, model, by_frequency(piece_counts(every, vocabulary)))
     asked = sorted(bytes(r.w) for r in every.select(F.explode("top").alias("w")).distinct().collect())
     for k in range(TURNS):
@@ -787,8 +804,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     own = build(Words(ids, model), None, None, found, [0] * len(found), [False] * len(found))
     dumped = own.dump()
     own.deal(row, share, prior)
-    fit_rows = spark.createDataFrame([(SAMPLE, *(dumped[k] for k in UNIT_COLUMNS))], every.select("unit", *UNIT_COLUMNS).schema)
-    replies = stash(answers(every.select("unit", *UNIT_COLUMNS).unionByName(fit_rows), common, shards, max(1.0, n_all / FREQUENT), (row, share, prior)), "replies")
+    fit_rows = spark.createDataFrame(pa.table({"unit": [SAMPLE], **{k: [dumped[k]] for k in UNIT_COLUMNS}}))  # rows would start Python workers that stay for a minute
+    replies = stash(answers(every.select("unit", *UNIT_COLUMNS).unionByName(fit_rows), common, shards, max(1.0, n_all / FREQUENT), (row, share, prior)), "replies", "none")
     stats = replies.filter("unit is null")
     add = {k: np.zeros(m, dtype=np.int64) for k, m in (("known", 1), ("all", EXPERTS), ("once", EXPERTS), ("classes", EXPERTS * EXPERTS))}
     flat = lambda c: c.combine_chunks().values.to_numpy() if len(c) else np.zeros(0, np.int64)

@@ -1,6 +1,7 @@
 import copy
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -276,3 +277,39 @@ def test_every_training_word_fits_the_model(spark, monkeypatch):
     pieces = {p for ws in texts for p in L.pieces([*ws, L.END], L.MODEL)[0].tolist()}
     assert len([r for r in told if r < L.ROWS]) == len(pieces) + 1  # and a text's beginning
     assert abs(net.w2 - start.w2).max() > 0 and told[L.ROWS + 1].sum() > 100 and (trust[1:] != 0.5).any()
+
+
+def test_scoring_takes_stretches_of_a_unit(monkeypatch):
+    """Memory beside the unit and its answers is that of a stretch; the scores and ratios are those of the whole."""
+    made, names, hashes, n, cls = a_model()
+    rng = random.Random(12)
+    seen = L.Words(np.arange(32000, dtype=np.uint16) % 4000, L.MODEL)
+    texts = [[rng.choice(names[:42]) for _ in range(rng.randint(0, 800))] + [L.END] for _ in range(600)]
+    u = L.build(seen, np.zeros((EXPERTS, L.ROWS), dtype=np.float32), np.full(EXPERTS, 1 / EXPERTS), texts, [0] * 600, [k % 3 > 0 for k in range(600)])
+    h, of = L.hashed(u.names), dict(zip(names, zip(n, cls)))
+    m, c = (np.array([of.get(w, (0, 0))[j] for w in u.names]) for j in (0, 1))
+    i, _, _, own = u.triples(h, np.arange(len(h)) % 2 > 0, 4)
+    draw = np.random.default_rng(5)
+    total = draw.integers(1, 30, len(i))
+    count = draw.integers(1, 1 + total)
+    triples = (i, count, total, 1 + (total > count), own)
+    made.spelling(names)
+    made.tables = made.net.tables()
+    tracemalloc.start()
+    got = made.score(u, h, m, c, triples)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(u.kind) > 200_000 and most < 90 * len(u.kind)
+    learner = L.Learner(made)
+    learner.over([(u, h, m, c, triples)])
+    monkeypatch.setattr(L, "STRETCH", 1 << 40)
+    whole = L.Learner(made)
+    whole.over([(u, h, m, c, triples)])
+    assert all(x.tolist() == y.tolist() for x, y in zip(got, made.score(u, h, m, c, triples)))
+    assert whole.ratio.tolist() == learner.ratio.tolist() and learner.ratio.sum() > 10_000
+
+
+def test_no_workers_for_the_sample(spark, monkeypatch):
+    """Rows dealt out by parallelize would pass through Python workers of their own, which stay beside those of the next stages."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("parallelize"))
+    assert L.lm_scores(spark.range(9).selectExpr("id doc_id", "'a b c' text")).count() == 9
