@@ -62,6 +62,8 @@ SHARD = 4_000_000
 MEMORY = 120_000
 #: Words of a unit that are scored at once; bytes of an Arrow batch, which holds one unit at least.
 STRETCH, BATCH_BYTES = 50_000, 1 << 20
+#: Trust cells by a context's count: 1, 2, 3 to 4, 5 to 8, more.
+CELLS = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4, 5])
 #: Taken off the count of a repeated sequence; words of an expert that weigh like all the others' together.
 DISCOUNT, STRENGTH = 0.25, 1000.0
 END = b"\n"
@@ -392,16 +394,23 @@ def turn(every: DataFrame, row: np.ndarray, share: np.ndarray, prior: np.ndarray
             for x in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
                 u = Unit.load(*x)
                 u.rows = row[u.rows].astype(np.int64)
-                part, _ = u.places()
                 z = u.likely(share, prior)
                 r = np.exp(z - z.max(axis=1, keepdims=True))
                 r /= r.sum(axis=1, keepdims=True)
-                n += r[u.train > 0].sum(axis=0)
-                mine = u.taught()
-                kind, part = u.kind[mine], part[mine]
+                r[r < 1e-20] = 0  # far below the last digit of any sum
+                taught = u.train > 0
+                n += r[taught].sum(axis=0)
+                start, size = np.cumsum(u.size) - u.size + u.hist, u.size - u.hist
+                by = np.zeros((len(u.names), EXPERTS))
                 for k in range(EXPERTS):
-                    by = np.bincount(kind, weights=r[part, k], minlength=len(u.names))
-                    c[:, k] += np.bincount(u.rows, weights=np.repeat(by, u.n), minlength=ROWS)
+                    on = np.flatnonzero(taught & (r[:, k] > 0))
+                    by[:, k] = np.bincount(u.kind[ragged(start[on], size[on])], weights=np.repeat(r[on, k], size[on]), minlength=len(u.names))
+                order = np.argsort(u.rows.astype(np.uint16), kind="stable")
+                rows = u.rows[order]
+                first = np.flatnonzero(np.diff(rows, prepend=-1))
+                c[rows[first]] += np.add.reduceat(by[np.repeat(np.arange(len(u.n)), u.n)[order]], first, axis=0)
+                mine = u.taught()
+                kind = u.kind[mine]
                 if asks:
                     at = np.array([asked.get(w, -1) for w in u.names])
                     counts[at[at >= 0]] += np.bincount(kind, minlength=len(u.names))[at >= 0]
@@ -453,7 +462,10 @@ def shares(unit: Unit, hashes: np.ndarray, common: np.ndarray, shards: int):
 
 def grouped(shard: np.ndarray, key: np.ndarray, taught: np.ndarray):
     """By shard: its different keys in order, how many of the places that teach have each, and (all places in order, their key's number)."""
-    order = np.lexsort((key, shard))
+    order = np.argsort(key)
+    if len(shard) and shard.max():
+        by = shard[order]
+        order = order[np.argsort(by.astype(np.uint16) if by.max() < 1 << 16 else by, kind="stable")]
     s, k = shard[order], key[order]
     first = np.ones(len(k), dtype=bool)
     first[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
@@ -587,6 +599,8 @@ class Model:
 
     def spelling(self, names: list[bytes]) -> np.ndarray:
         """log10 probability that an unseen word is spelled so, its end included."""
+        if not names:
+            return np.zeros(0)
         if self.log_spell is None:
             n2 = np.bincount(self.codes & 0xFFFF, weights=self.code_n, minlength=1 << 16).reshape(256, 256)
             p1 = (n2.sum(axis=0) + 1) / (n2.sum() + 256)
@@ -596,7 +610,7 @@ class Model:
                 mine = first == a
                 own = np.bincount(self.codes[mine] & 0xFFFF, weights=self.code_n[mine], minlength=1 << 16).reshape(256, 256)
                 self.log_spell[a << 16 : (a + 1) << 16] = np.log10((own + 5 * p2) / (own.sum(axis=1, keepdims=True) + 5)).ravel()
-        b = np.frombuffer(b" " + b" ".join(b" " + w for w in names) + b" ", dtype=np.uint8).astype(np.uint32)
+        b = np.frombuffer(b"  " + b"  ".join(names) + b" ", dtype=np.uint8).astype(np.uint32)
         code = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
         log = np.where((b[1:-1] != 32) | (b[2:] != 32), self.log_spell[code].astype(np.float32), 0)
         n = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) + 2
@@ -606,11 +620,15 @@ class Model:
         """(words, experts): the probability of each word, and as if one occurrence less had been counted."""
         at = np.minimum(np.searchsorted(self.often, hashes), max(0, len(self.often) - 1))
         often = self.often[at] == hashes if len(self.often) else np.zeros(len(hashes), dtype=bool)
-        spell = np.maximum(self.unseen * 10.0 ** np.maximum(self.spelling(names), -30)[:, None], 1e-35).astype(np.float32)
-        out = np.where((n > 0)[:, None], self.rare[cls] * n[:, None].astype(np.float32), spell)
+        few = np.flatnonzero(n <= 1)  # only these are spelled
+        spell = np.maximum(self.unseen * 10.0 ** np.maximum(self.spelling([names[k] for k in few.tolist()]), -30)[:, None], 1e-35).astype(np.float32)
+        out = self.rare[cls] * n[:, None].astype(np.float32)
+        none = n[few] == 0
+        out[few[none]] = spell[none]
         if often.any():
             out[often] = self.share[at[often]]
-        less = np.where((n > 1)[:, None], out * ((n - 1) / np.maximum(n, 1))[:, None].astype(np.float32), spell)
+        less = out * ((n - 1) / np.maximum(n, 1))[:, None].astype(np.float32)
+        less[few] = spell
         return out, less
 
     def layout(self, u: Unit) -> tuple[np.ndarray, np.ndarray]:
@@ -630,17 +648,17 @@ class Model:
     def repeated(self, u: Unit, i: np.ndarray, c: np.ndarray, total: np.ndarray, kinds: np.ndarray, less: bool):
         """Of every word: trust cell (context count, what befell the word before), the repeated share, and what it passes on."""
         size = len(u.kind)
-        seen, out, rest = np.zeros(size), np.zeros(size), np.ones(size)
+        cell, out, rest = np.zeros(size, dtype=np.int64), np.zeros(size), np.ones(size)
         if less:
             kinds, c, total = kinds - (c == 1), c - 1, total - 1
-        seen[i] = total
         on = total > 0
-        d = np.minimum(DISCOUNT * kinds[on] / total[on], 1)
-        out[i[on]], rest[i[on]] = np.maximum(c[on] - DISCOUNT, 0) / total[on], d
-        state = np.where(seen > 0, np.where(out > 0, 2, 1), 0)
-        _, at = u.places()
-        before = np.where(at > 0, np.roll(state, 1), 0)
-        cell = np.where(seen > 0, np.minimum(5, 1 + np.ceil(np.log2(np.maximum(seen, 1)))), 0).astype(np.int64)
+        at, c, total, kinds = i[on], c[on], total[on], kinds[on]
+        cell[at] = CELLS[np.minimum(total, len(CELLS) - 1)]
+        out[at], rest[at] = np.maximum(c - DISCOUNT, 0) / total, np.minimum(DISCOUNT * kinds / total, 1)
+        before = np.zeros(size, dtype=np.int64)
+        before[1:] = ((cell > 0).astype(np.int64) + (out > 0))[:-1]
+        first = np.cumsum(u.size) - u.size
+        before[first[first < size]] = 0
         return cell, before, out, rest
 
     def score(self, u: Unit, hashes: np.ndarray, n: np.ndarray, cls: np.ndarray, triples) -> tuple[np.ndarray, np.ndarray]:
@@ -710,7 +728,8 @@ class Learner:
         order = np.random.default_rng(len(rows)).permutation(live)
         for a in range(0, len(order), MANY):
             b = order[a : a + MANY]
-            yield np.concatenate((rows[b - 1], rows[b]), axis=1), valid[b], less[next_[b]]
+            ok = valid[b]
+            yield np.concatenate((rows[b - 1], rows[b]), axis=1), ok, less.take(next_[b][ok], axis=0)
             given[b] = self.net.given
         self.words += int(mine.sum())
         self.read += np.bincount(rows[live].ravel(), minlength=ROWS + 1) + np.bincount(rows[live - 1].ravel(), minlength=ROWS + 1)
@@ -766,10 +785,10 @@ def gathered(u: Unit, hashes: np.ndarray, common: np.ndarray, shards: int, got:
     mine = [got[s, WORDS] for s in np.unique(shard).tolist()]
     n[order], cls[order] = np.concatenate([unpack(x[0]) for x in mine]), np.concatenate([unpack(x[1]) for x in mine])
     i, shard, key, own = u.triples(hashes, common, shards)
-    counts = np.zeros((3, len(i)), dtype=np.int64)
+    counts = np.zeros((len(i), 3), dtype=np.int64)
     for s, _, _, (places, number) in grouped(shard, key, np.zeros(len(i), dtype=bool)):
-        for k in range(3):
-            counts[k, places] = unpack(got[s, TRIPLES][k])[number]
+        counts[places] = np.stack([unpack(x) for x in got[s, TRIPLES]], axis=1)[number]
+    counts = np.ascontiguousarray(counts.T)
     return n, cls, (i, *counts, own)
 
 

@@ -313,3 +313,23 @@ def test_no_workers_for_the_sample(spark, monkeypatch):
     """Rows dealt out by parallelize would pass through Python workers of their own, which stay beside those of the next stages."""
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("parallelize"))
     assert L.lm_scores(spark.range(9).selectExpr("id doc_id", "'a b c' text")).count() == 9
+
+
+def test_only_places_that_ask_are_computed(monkeypatch):
+    """Windows' places before which no word ends take no part, and words counted more than once are not spelled."""
+    rng = np.random.default_rng(7)
+    net, rows, met = Attention(50, 1), rng.integers(0, 50, (40, SPAN)).astype(np.int32), []
+    place = np.sort(rng.choice(np.arange(SPAN, rows.size), 150, replace=False))
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **b: met.append(x.size) or exp(x, *a, **b))
+    net.weights(rows, place, net.tables())
+    assert sum(met) == 150 * (LENGTH + EXPERTS)
+    ids, valid, like = rng.integers(0, 50, (9, LENGTH)), rng.random((9, SPAN)) < 0.4, rng.random((9, SPAN, EXPERTS)).astype(np.float32)
+    met.clear()
+    whole = net.gradients(ids, valid, like)
+    assert sum(met) == valid.sum() * (LENGTH + EXPERTS)
+    assert all((g == whole[k]).all() for k, g in net.gradients(ids, valid, like[valid]).items())
+    made, names, hashes, n, cls = a_model()
+    monkeypatch.setattr(made, "spelling", lambda ws: met.append(ws) or np.zeros(len(ws)))
+    made.word_shares(names, hashes, n, cls)
+    assert met[-1] == [w for w, k in zip(names, n) if k < 2]
