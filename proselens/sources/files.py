@@ -58,19 +58,31 @@ def extract(text: str, kind: str) -> list[dict]:
     return [{"seg_id": k} | s for k, s in enumerate(found)]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows and bytes of an Arrow batch, so that long texts fit a worker whatever the input."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def extract_documents(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, name, format, text) to segments, of documents in which some segment holds Japanese."""
+    """documents (doc_id, name, format, text) to segments, of documents in which some segment holds Japanese. Plain texts stay in the JVM."""
     ship(documents.sparkSession)
+    bound_batches(documents.sparkSession)
     rows = documents.filter(F.col("format").isNotNull() & T.has_japanese(F.col("text")))
 
-    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ':') for x in SEGMENT.split(', ')).replace(', ', ',')}>>")
+    schema = f"array<struct<{', '.join(x.replace(' ', ':') for x in SEGMENT.split(', ')).replace(', ', ',')}>>"
+
+    @F.pandas_udf(schema)
     def run(text, kind):
         import pandas as pd
 
-        return pd.Series([extract(t, k) for t, k in zip(text, kind)])
+        return pd.Series([[] if t is None else extract(t, k) for t, k in zip(text, kind)])
 
-    found = rows.select("doc_id", F.col("name").alias("path"), run("text", "format").alias("segments"))
-    found = found.filter(F.exists("segments", lambda s: T.has_japanese(s["text"])))
+    text, plain = F.col("text"), F.col("format") == "text"
+    lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1)
+    whole = F.array(F.struct(F.lit(0), F.lit("prose"), text, F.lit(1), F.greatest(lines, F.lit(1)))).cast(schema)
+    found = rows.select("doc_id", F.col("name").alias("path"), plain.alias("plain"), F.when(plain, whole).otherwise(run(F.when(~plain, text), F.col("format"))).alias("segments"))
+    found = found.filter(F.col("plain") | F.exists("segments", lambda s: T.has_japanese(s["text"])))  # a plain text is its one segment
     return found.select("doc_id", "path", F.explode("segments").alias("s")).select("doc_id", "path", "s.*")
 
 

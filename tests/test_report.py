@@ -226,3 +226,16 @@ def test_manifest(tmp_path):
         files.manifest(str(path))
     assert files.diff_range("a..b") == ("a..b", "b") and files.diff_range("a..") == ("a..", "HEAD") and files.diff_range("x") == ("x~1..x", "x")
     assert [files.format_of(p) for p in ("a.MD", "b", ".c", "d.tsx", "e.png")] == ["markdown", "text", None, "script", None]
+
+
+def test_plain_texts_need_no_python(spark):
+    """A plain text is a segment as a whole, whatever its length; only other formats go to Python, in bounded batches."""
+    texts = ["川だ。", "川だ。\n", "\n\n川", "a\n\n川だ。\n\n", "no Japanese", None, "\r\n川\n" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("doc_id", "'a.txt' name", "'text' format", "text")
+    found = files.extract_documents(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    got = {r.doc_id: (r.seg_id, r.kind, r.text, r.line_start, r.line_end) for r in found.collect()}
+    assert got == {k: tuple(files.extract(t, "text")[0][c] for c in ("seg_id", "kind", "text", "line_start", "line_end")) for k, t in enumerate(texts) if t and "川" in t}
+    mixed = docs.unionByName(docs.selectExpr("doc_id + 100 doc_id", "'a.md' name", "'markdown' format", "text"))
+    assert {r.doc_id for r in files.extract_documents(mixed).collect()} == {*got, *(k + 100 for k in got)}
