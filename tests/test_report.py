@@ -239,3 +239,16 @@ def test_plain_texts_need_no_python(spark):
     assert got == {k: tuple(files.extract(t, "text")[0][c] for c in ("seg_id", "kind", "text", "line_start", "line_end")) for k, t in enumerate(texts) if t and "川" in t}
     mixed = docs.unionByName(docs.selectExpr("doc_id + 100 doc_id", "'a.md' name", "'markdown' format", "text"))
     assert {r.doc_id for r in files.extract_documents(mixed).collect()} == {*got, *(k + 100 for k in got)}
+
+
+def test_findings_judge_a_sentence_once(spark):
+    """The queries' findings are those of each sentence where it stands, though only the bank's sentences are judged."""
+    from proselens import queries as Q
+    from proselens.plans import bank as B
+
+    keys = spark.range(3, 6).withColumnRenamed("id", "doc_id")
+    bank = B.bank(spark).withColumn("seg_text", F.col("text"))
+    once = R.told(B.analysed_corpus(keys, R.judged(bank, "id", rules=("S02", "F03"))))
+    each = R.sentence_findings(B.corpus(keys), rules=("S02", "F03"))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, each.collect())) != []
+    assert hasattr(Q, "_own")
